@@ -37,6 +37,8 @@ DISTANCE = 3
 BLOCK = 1024
 #: Fingerprints joined to their components by broadcast: so many rows of 16 bytes.
 HOT = 256
+#: Words of the filter of keys with large groups.
+FILTER_WORDS = 1 << 17
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -122,7 +124,8 @@ def links(fps: DataFrame) -> DataFrame:
     lo, hi, fp, i = F.col("lo"), F.col("hi"), F.col("fp"), F.col("i")
     pairs = groups.where("n = 2").where(_chain(lo, hi, i)).select(lo.alias("a"), hi.alias("b"))
 
-    members = table(keyed.join(groups.where("n > 2").select("i", "k", "n"), ["i", "k"]), "simhash-members")
+    large = groups.where("n > 2").select("i", "k", "n")
+    members = table(_maybe_in(keyed, large).join(large, ["i", "k"]), "simhash-members")
     anchors = members.groupBy("i", "k").agg(F.max(F.struct("w", "fp"))["fp"].alias("anchor"))
     members = members.join(anchors, ["i", "k"])
     anchor = F.col("anchor")
@@ -131,6 +134,18 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(anchored).unionByName(_blocks(members, members.where(~linked))).distinct()
 
 
+def _maybe_in(keyed: DataFrame, large: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key may be among ``large``: all that are, and few others, without an exchange.
+
+    A one-hash Bloom filter of ``FILTER_WORDS`` 64-bit words, made by OR; that is also the bound on the rows broadcast.
+    """
+    h = F.pmod(F.xxhash64("i", "k"), F.lit(64 * FILTER_WORDS))
+    bit = F.shiftleft(F.lit(1).cast("long"), (h % 64).cast("int"))
+    words = large.groupBy(F.floor(h / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    at = keyed.withColumn("word", F.floor(h / 64).cast("int")).withColumn("bit", bit)
+    return at.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
+
+
 def _block(n: Column) -> Column:
     return F.pmod(F.xxhash64("fp"), F.ceil(n / BLOCK)).cast("int")
 
@@ -210,10 +225,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
 
 
+def _partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that can be reached over links, its own included."""
     prints = table(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("w")), "distinct-fingerprints")
+    distinct = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("w")).repartition(_partitions(docs.sparkSession), "fp"), "distinct-fingerprints")
     nodes = components(links(distinct.select("fp", "w")))
     named = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "w", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -140,7 +140,7 @@ def _maybe_in(keyed: DataFrame, large: DataFrame) -> DataFrame:
     A one-hash Bloom filter of ``FILTER_WORDS`` 64-bit words, made by OR; that is also the bound on the rows broadcast.
     """
     h = F.pmod(F.xxhash64("i", "k"), F.lit(64 * FILTER_WORDS))
-    bit = F.shiftleft(F.lit(1).cast("long"), (h % 64).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
     words = large.groupBy(F.floor(h / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
     at = keyed.withColumn("word", F.floor(h / 64).cast("int")).withColumn("bit", bit)
     return at.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")

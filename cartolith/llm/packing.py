@@ -69,12 +69,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     for i, s in enumerate(lengths.tolist()):
         if not 0 < s <= capacity:
             raise ValueError(f"a piece of {s} ids can't go into a sequence of {capacity}")
-        # the change of half the sum, without constants: making gap g - s costs N(g - s) (0 if full), taking gap g saves N(g)
+        # the change of the sum: 1 - 2 N(g) for the gap taken, 1 + 2 N(g - s) for the gap made
         open_gaps = n[s:capacity]
         made_gaps = n[: capacity - s].copy()
-        change = made_gaps - open_gaps + 1
+        change = 2 * (made_gaps - open_gaps) + 2
         if len(change):
-            change[0] = -open_gaps[0]  # a full sequence doesn't count
+            change[0] = 1 - 2 * open_gaps[0]  # a full sequence doesn't count
             change[open_gaps == 0] = 1 << 40
         best = int(np.argmin(change)) if len(change) else -1
         if best >= 0 and change[best] < 1 << 40:

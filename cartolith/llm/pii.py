@@ -94,6 +94,11 @@ def _is_ip(v: Column) -> Column:
     return F.forall(short, lambda p: (F.length(p) <= 3) & (F.when(F.length(p) <= 3, F.when(p == "", 0).otherwise(p.try_cast("int"))) <= 255))
 
 
+def _joined_to(s: Column) -> Column:
+    """Whether a letter or digit stands right before or after a span."""
+    return F.rlike(s["before"], F.lit("[\\p{L}\\p{N}]$")) | F.rlike(s["after"], F.lit("^[\\p{L}\\p{N}]"))
+
+
 def _checks(name: str):
     return {
         "email": lambda s: F.lit(True),
@@ -101,7 +106,8 @@ def _checks(name: str):
         "card": lambda s: _is_card(s["value"]),
         "phone": lambda s: F.length(_digits(s["value"])).between(9, 15),
         "secret": lambda s: F.rlike(s["value"], F.lit("[0-9]")) & F.rlike(s["value"], F.lit("[A-Za-z]")),
-        "number": lambda s: F.length(_digits(s["value"])).between(12, 19) & ~_is_card(s["value"]),
+        # not the digits within a longer string, which is a candidate itself
+        "number": lambda s: F.length(_digits(s["value"])).between(12, 19) & ~_is_card(s["value"]) & ~_joined_to(s),
         "identity": lambda s: F.lit(True),
     }[name]
 
@@ -129,7 +135,7 @@ def votes(s: Column) -> dict[str, Column]:
         "pattern": _vote(strict, ~strict),
         "gazetteer": _vote(F.rlike(before, F.lit(rf"(?<!\p{{L}})(?:{CUES})(?!\p{{L}})[^\p{{L}}\p{{N}}]*$")), F.lit(False)),
         "counter": _vote(F.lit(False), F.rlike(before, F.lit(rf"(?<!\p{{L}})(?:{COUNTER_CUES})(?!\p{{L}})[^\p{{L}}\p{{N}}]*$"))),
-        "context": _vote(F.rlike(before, F.lit("[=:]\\s*[\"']?$")), F.rlike(before, F.lit("[\\p{L}\\p{N}]$")) | F.rlike(s["after"], F.lit("^[\\p{L}\\p{N}]"))),
+        "context": _vote(F.rlike(before, F.lit("[=:]\\s*[\"']?$")), _joined_to(s)),
         "variety": _vote(variety >= 8, variety <= 4),
     }
 
@@ -146,7 +152,7 @@ def features(s: Column) -> dict[str, Column]:
         "variety": F.when(variety <= 4, 0).when(variety < 8, 1).when(variety < 12, 2).otherwise(3),
         "hex": F.rlike(value, F.lit("^[0-9a-fA-F]+$")).cast("int"),
         "quoted": F.rlike(s["before"], F.lit("[\"'=:]\\s*[\"']?$")).cast("int"),
-        "joined": (F.rlike(s["before"], F.lit("[\\p{L}\\p{N}]$")) | F.rlike(s["after"], F.lit("^[\\p{L}\\p{N}]"))).cast("int"),
+        "joined": _joined_to(s).cast("int"),
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, line_dedup, packing, pii, quality, simhash, token_files, toxicity
+from . import byte_bpe, chat, fingerprints, line_dedup, packing, pii, quality, simhash, token_files, toxicity
 from .common import documents
 
 
@@ -33,6 +33,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(documents(spark, sf_dir))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digests(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op6_chat": op6_chat,
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
@@ -63,4 +68,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.SQL,
+    "op6_chat": chat.SQL,
 }

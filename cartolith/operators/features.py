@@ -8,6 +8,7 @@ from enum import StrEnum
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..errors import ArgumentError, CoordinateSystemError, FieldError, GeometryTypeError
 from ..functions import geometry as g
@@ -109,6 +110,18 @@ KERNEL_ATTRIBUTES = "inside_x inside_y length_geodesic perimeter_geodesic area_g
 ATTRIBUTES = [*NATIVE_ATTRIBUTES, *KERNEL_ATTRIBUTES]
 
 
+def valid_attributes(meta: FeatureMeta) -> list[str]:
+    """The attributes that a layer's geometries have, Z and M ones only where it has those."""
+    axes = ["x", "y", *(["z"] if meta.has_z else []), *(["m"] if meta.has_m else [])]
+    each = lambda kind: [f"{kind}_{a}" for a in axes]
+    if meta.dimension == 0:
+        return [*each("centroid"), "part_count", "point_count", *each("extent_min"), *each("extent_max")] if meta.multi else each("point")
+    common = [*each("centroid"), "part_count", "point_count", *each("extent_min"), *each("extent_max"), "inside_x", "inside_y"]
+    if meta.dimension == 1:
+        return [*common, "length", "length_geodesic", "line_azimuth", *each("line_start"), *each("line_end")]
+    return [*common, "hole_count", "area", "area_geodesic", "perimeter", "perimeter_geodesic"]
+
+
 def attribute(source: FeatureFrame, name: str) -> Column:
     """A geometry attribute that Catalyst can express, in the layer's own units."""
     geom, dim = F.col(source.meta.geom), source.meta.dimension
@@ -133,9 +146,11 @@ def calculate_geometry_attributes(source: FeatureFrame, field: str, geometry_att
     name = str(geometry_attribute).casefold()
     if name not in ATTRIBUTES:
         raise ArgumentError(f"unknown geometry attribute {geometry_attribute!r}")
+    if name not in valid_attributes(source.meta):
+        raise ArgumentError(f"{source.meta.shape_type} layers have no {name}")
     (target,) = fields(source.df, field)
     kind = source.df.schema[target].dataType
-    if not isinstance(kind, __import__("pyspark.sql.types", fromlist=["NumericType"]).NumericType):
+    if not isinstance(kind, NumericType):
         raise FieldError(f"{target} isn't numeric")
     geographic = is_geographic(source.meta.crs)
     if geographic and name in ("length", "perimeter", "area"):

@@ -91,19 +91,29 @@ def alter_field(source: Layer, field: str, field_property: str = "name", value:
     return like(source, df.withMetadata(name, {**df.schema[name].metadata, kind: value}))
 
 
-_GNSS = [
-    ("RECEIVER", "string"), ("H_RMS", "double"), ("V_RMS", "double"), ("LATITUDE", "double"), ("LONGITUDE", "double"), ("ALTITUDE", "double"), ("PDOP", "double"), ("HDOP", "double"), ("VDOP", "double"),
-    ("FIX_TYPE", "smallint"), ("CORRECTION_AGE", "double"), ("STATION_ID", "smallint"), ("NUM_SATS", "smallint"), ("FIX_TIME", "timestamp"), ("AVG_H_RMS", "double"), ("AVG_V_RMS", "double"), ("AVG_POSITIONS", "smallint"),
-    ("H_STDDEV", "double"), ("DIRECTION", "double"), ("SPEED", "double"), ("COMPASS_READING", "double"), ("POSITION_SOURCE", "smallint"),
-]
-_GNSS_WORST = [("WORST_H_RMS", "double"), ("WORST_V_RMS", "double"), ("WORST_FIX_TYPE", "smallint"), ("WORST_CORRECTION_AGE", "double"), ("WORST_PDOP", "double"), ("WORST_NUM_SATS", "smallint")]
-_RANGES = {"LATITUDE": [-90, 90], "LONGITUDE": [-180, 180], "PDOP": [0, 100], "HDOP": [0, 100], "VDOP": [0, 100], "STATION_ID": [0, 1023], "NUM_SATS": [0, 99], "DIRECTION": [0, 360], "COMPASS_READING": [0, 360]}
+#: name (after GNSS_), type and alias of the fields of positioning; kinds of fix and source are texts
+_GNSS = """POSITIONSOURCETYPE string Position Source Type; RECEIVER string Receiver Name; LATITUDE double Latitude; LONGITUDE double Longitude; ALTITUDE double Altitude
+H_RMS double Horizontal Accuracy (m); V_RMS double Vertical Accuracy (m); FIXDATETIME timestamp_ntz Fix Time; FIXTYPE string Fix Type; CORRECTIONAGE double Correction Age
+STATIONID bigint Station ID; NUMSATS bigint Number of Satellites; PDOP double PDOP; HDOP double HDOP; VDOP double VDOP; DIRECTION double Direction of travel (°)
+SPEED double Speed (km/h); AZIMUTH double Compass reading (°); AVG_H_RMS double Average Horizontal Accuracy (m); AVG_V_RMS double Average Vertical Accuracy (m)
+AVG_POSITIONS bigint Averaged Positions; H_STDDEV double Standard Deviation (m)"""
+_GNSS_LINES = """WORST_H_RMS double Worst Horizontal Accuracy (m); WORST_V_RMS double Worst Vertical Accuracy (m); WORST_FIXTYPE string Worst Fix Type; MANUAL_LOCATIONS bigint Number of Manual Locations"""
+_RANGES = {"NUMSATS": [0, 99], "STATIONID": [0, 1023]}
+
+
+def _positioning(text: str) -> list[T.StructField]:
+    out = []
+    for entry in text.replace("\n", ";").split(";"):
+        name, kind, alias = entry.strip().split(" ", 2)
+        full = "SNSR_AZIMUTH" if name == "AZIMUTH" else f"GNSS_{name}"
+        out.append(T.StructField(full, T._parse_datatype_string(kind), True, {"alias": alias} | ({"range": _RANGES[name]} if name in _RANGES else {})))
+    return out
 
 
 def add_gps_metadata_fields(source: FeatureFrame) -> FeatureFrame:
-    """22 fields of satellite positioning (28 for layers other than points), with ranges in their metadata."""
-    wanted = _GNSS + ([] if source.meta.dimension == 0 and not source.meta.multi else _GNSS_WORST)
-    return add_field(source, [T.StructField(n, T._parse_datatype_string(t), True, {"range": _RANGES[n]} if n in _RANGES else {}) for n, t in wanted])
+    """22 fields of satellite positioning, and those of worst fixes for layers other than points. Existing ones stay."""
+    points = source.meta.dimension == 0 and not source.meta.multi
+    return add_field(source, _positioning(_GNSS if points else f"{_GNSS};{_GNSS_LINES}"))
 
 
 def calculate_end_time(source: Layer, start_field: str, end_field: str, sort_fields: str | Iterable[str] = (), partition_fields: str | Iterable[str] = ()) -> Layer:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .errors import UnitError
 
+_FOOT, _SURVEY = 0.3048, 1200 / 3937
 #: Metres in one of each; the first name of a unit is its own.
 LENGTHS: dict[str, tuple[float, tuple[str, ...]]] = {
     "meters": (1.0, ("m", "meter", "metre", "metres")),
@@ -17,30 +18,26 @@ LENGTHS: dict[str, tuple[float, tuple[str, ...]]] = {
     "decimeters": (0.1, ("dm", "decimeter", "decimetre", "decimetres")),
     "centimeters": (0.01, ("cm", "centimeter", "centimetre", "centimetres")),
     "millimeters": (0.001, ("mm", "millimeter", "millimetre", "millimetres")),
-    "feet": (0.3048, ("ft", "foot", "international feet", "international foot")),
-    "us survey feet": (1200 / 3937, ("us feet", "us foot", "us survey foot", "ftus")),
-    "yards": (0.9144, ("yd", "yard")),
-    "miles": (1609.344, ("mi", "mile")),
-    "nautical miles": (1852.0, ("nm", "nmi", "nautical mile")),
-    "inches": (0.0254, ("in", "inch")),
+    "feet": (_FOOT, ("ft", "foot", "international feet", "international foot", "feet international")),
+    "us survey feet": (_SURVEY, ("us feet", "us foot", "us survey foot", "ftus", "feet us")),
+    "yards": (3 * _FOOT, ("yd", "yard", "yards international")),
+    "us survey yards": (3 * _SURVEY, ("yards us", "us yards")),
+    "miles": (5280 * _FOOT, ("mi", "mile", "miles international", "statute miles", "statute mile")),
+    "us survey miles": (5280 * _SURVEY, ("miles us", "us miles")),
+    "nautical miles": (1852.0, ("nm", "nmi", "nautical mile", "nautical miles international")),
+    "us nautical miles": (1853.248, ("nautical miles us",)),
+    "inches": (_FOOT / 12, ("in", "inch")),
 }
 ANGLES = ("decimal degrees", "decimal degree", "degrees", "degree", "deg", "dd")
 #: Square metres in one of each.
 AREAS: dict[str, float] = {
-    "square meters": 1.0,
-    "square kilometers": 1e6,
-    "square decimeters": 0.01,
-    "square centimeters": 1e-4,
-    "square millimeters": 1e-6,
+    **{f"square {n}": f * f for n, (f, _) in LENGTHS.items()},
+    **{f"square {a}": f * f for f, aliases in LENGTHS.values() for a in aliases if a.endswith((" international", " us"))},
     "hectares": 1e4,
     "ares": 100.0,
-    "square feet": 0.3048**2,
-    "square us survey feet": (1200 / 3937) ** 2,
-    "square yards": 0.9144**2,
-    "square miles": 1609.344**2,
-    "square nautical miles": 1852.0**2,
-    "square inches": 0.0254**2,
-    "acres": 4046.8564224,
+    "acres": 43_560 * _FOOT**2,
+    "acres international": 43_560 * _FOOT**2,
+    "acres us": 43_560 * _SURVEY**2,
 }
 _FACTORS = {alias: factor for name, (factor, aliases) in LENGTHS.items() for alias in (name, *aliases)}
 
@@ -54,7 +51,7 @@ class Distance:
 
     @property
     def angular(self) -> bool:
-        return self.unit.casefold() in ANGLES
+        return self.unit.casefold().replace("_", " ") in ANGLES
 
     @property
     def meters(self) -> float:
@@ -69,7 +66,7 @@ class Distance:
 def length_factor(unit: str) -> float:
     """Metres in one ``unit``."""
     try:
-        return _FACTORS[unit.strip().casefold()]
+        return _FACTORS[unit.strip().casefold().replace("_", " ")]
     except KeyError:
         raise UnitError(f"unknown unit of length: {unit!r}") from None
 
@@ -92,9 +89,10 @@ def parse(value: Distance | float | int | str) -> Distance | float:
     number, unit = float(found[1]), found[2]
     if unit is None:
         return number
-    if unit.casefold() not in ANGLES:
+    unit = unit.casefold().replace("_", " ")
+    if unit not in ANGLES:
         length_factor(unit)
-    return Distance(number, unit.casefold())
+    return Distance(number, unit)
 
 
 def meters_of(column: Column) -> Column:

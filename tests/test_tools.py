@@ -194,3 +194,35 @@ def test_row_local_tools_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("streamed").count() == L.table(spark, SF, "customer").where("c_custkey % 10 > 4").count()
+
+
+def test_positioning_fields_and_units(spark):
+    p = L.customers(spark, SF)
+    assert len(set(fields.add_gps_metadata_fields(p).df.columns) - set(p.df.columns)) == 22
+    t = L.tiles(spark, SF)
+    added = fields.add_gps_metadata_fields(t).df
+    assert len(set(added.columns) - set(t.df.columns)) == 26 and added.schema["GNSS_SPEED"].metadata["alias"] == "Speed (km/h)"
+    assert units.length_factor("MILES_US") == pytest.approx(1609.3472187) and units.area_factor("SQUARE_KILOMETERS") == 1e6 and units.area_factor("acres_us") == pytest.approx(4046.8726)
+    assert units.parse("2 nautical_miles_international").meters == 3704 and units.parse("1 degrees").angular
+
+
+def test_attributes_fit_the_shape(spark):
+    t = L.tiles(spark, SF)
+    t = t.with_df(t.df.withColumn("v", F.lit(0.0)))
+    with pytest.raises(ArgumentError):
+        features.calculate_geometry_attributes(t, "v", "line_start_x")
+    with pytest.raises(FieldError):
+        features.calculate_geometry_attributes(t, "n_name", "area")
+    assert {r.v for r in features.calculate_geometry_attributes(t, "V", "INSIDE_X").df.collect()} == {10, 30, 50, 70, 90}
+
+
+def test_conics_in_columns_and_floats(spark):
+    assert projections.transform("EPSG:4171", "EPSG:2154", 2.3522, 48.8566, floats=True) == pytest.approx((652_469.02, 6_862_035.26), abs=0.01)
+    for geographic, code, x, y in (("EPSG:4269", "EPSG:3347", -100.0, 55.0), ("EPSG:4269", "EPSG:5070", -100.0, 40.0), ("EPSG:4617", "EPSG:2959", -76.0, 45.0), ("EPSG:4326", "EPSG:32736", 33.0, -20.0)):
+        df = spark.createDataFrame([(1, x, y)], "fid long, x double, y double")
+        p = features.xy_table_to_point(df, geographic, "x", "y")
+        there = projections.project(p, code)
+        v = g.first_vertex(F.col("geom"))
+        a, b = there.df.select(v["x"], v["y"]).first(), projections.project(there, geographic).df.select(v["x"], v["y"]).first()
+        assert tuple(a) == pytest.approx(projections.transform(geographic, code, x, y, floats=True), abs=1e-4)
+        assert tuple(b) == pytest.approx((x, y), abs=1e-8)

@@ -13,7 +13,8 @@ from ..model import MULTI, FeatureFrame, Layer, df_of, like
 from ..names import unique_names, valid_name
 from ..plans import spatial_join
 from ..settings import Settings, tolerance
-from .common import check_dimensions, coerce, fields, in_extent, kernel, same_crs, spread, where
+from .common import check_dimensions, coerce, fields, in_extent, kernel, same_crs, where
+from .generalization import gathered
 
 
 def table_select(source: Layer, where_clause: str = "") -> Layer:
@@ -69,7 +70,6 @@ def _clipped(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float |
     geom, dim = source.meta.geom, source.meta.dimension
     left, right = _sides(source, operator, *([by] if by else []))
     pairs = spatial_join.join(left, right)
-    keys = ["l.id"] + ([f"r.{by}"] if by else [])
     if dim == 0:
         hit = pairs.select("l", *([F.col(f"r.{by}").alias("__by")] if by else []), F.col("r.geom").alias("og"))
         v = g.first_vertex(F.col("l.geom"))
@@ -81,19 +81,21 @@ def _clipped(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float |
             hit = hit.where(g.covers(F.col("og"), v["x"], v["y"]))
             one = hit.groupBy(F.col("l.id"), *(["__by"] if by else [])).agg(F.first("l").alias("l")).withColumn("__g", F.col("l.geom"))
         return one.select("l.row.*", "__g", *(["__by"] if by else []))
+    named = ["__by"] if by else []
+    ids = [F.col("l.id").alias("__id"), F.col("r.id").alias("__op"), *([F.col(f"r.{by}").alias("__by")] if by else [])]
+    keys, few = ["__id", *named], spatial_join.is_few(right)
+    source_rows = left.select(F.col("id").alias("__sid"), "row", F.col("geom").alias("__src"))
+    back = lambda d: d.join(source_rows, F.col("__id").eqNullSafe(F.col("__sid")))
     if source.meta.rectangles and operator.meta.rectangles and not xy_tolerance:
-        piece = g.rectangle_intersection(F.col("l.box"), F.col("r.box"))
-        rows = pairs.select("l", *([F.col(f"r.{by}").alias("__by")] if by else []), piece.alias("__p"), F.col("r.box").alias("__b")).where("__p is not null")
-        one = rows.groupBy(F.col("l.id"), *(["__by"] if by else [])).agg(F.first("l").alias("l"), F.collect_list("__p").alias("__ops"), F.count("*").alias("__n"))
+        pieces = pairs.select(*ids, g.rectangle_intersection(F.col("l.box"), F.col("r.box")).alias("__p")).where("__p is not null")
+        met = gathered(pieces, keys, "__p", "__op", few, None)
         # one piece needs no union
-        single = one.where("__n = 1").select("l.row.*", F.get("__ops", F.lit(0)).alias("__g"), *(["__by"] if by else []))
-        many = kernel(one.where("__n > 1"), "__g", lambda ops: ar.union(ops), ["__ops"], lists=("__ops",), drop=("__ops",))
-        return single.unionByName(many.select("l.row.*", "__g", *(["__by"] if by else [])))
-    keyed = pairs.select("*", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-    grouped = spread(keyed, *[f"__k{i}" for i in range(len(keys))]).groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.first("l").alias("l"), F.collect_list("r.geom").alias("__ops"), *([F.first(f"r.{by}").alias("__by")] if by else []))
-    flat = grouped.select("l.row", F.col("l.geom").alias("__src"), "__ops", *(["__by"] if by else []))
+        single = met.where(F.size("__ops") == 1).select(*keys, F.get("__ops", F.lit(0)).alias("__g"))
+        many = kernel(met.where(F.size("__ops") > 1), "__g", lambda ops: ar.union(ops), ["__ops"], lists=("__ops",), drop=("__ops",))
+        return back(single.unionByName(many.select(*keys, "__g"))).select("row.*", "__g", *named)
+    met = gathered(pairs.select(*ids, F.col("r.geom").alias("__o")), keys, "__o", "__op", few, xy_tolerance)
     cut = (lambda s, ops: ar.intersection(s, ar.union(ops, xy_tolerance), xy_tolerance)) if dim == 2 else (lambda s, ops: ar.clip_line(s, ar.union(ops, xy_tolerance)))
-    return kernel(flat, "__g", cut, ["__src", "__ops"], lists=("__ops",), drop=("__src", "__ops")).select("row.*", "__g", *(["__by"] if by else []))
+    return kernel(back(met).select("row", "__src", "__ops", *named), "__g", cut, ["__src", "__ops"], lists=("__ops",), drop=("__src", "__ops")).select("row.*", "__g", *named)
 
 
 def clip(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float | None = None, settings: Settings | None = None) -> FeatureFrame:

@@ -13,7 +13,7 @@ from ..functions.kernels import arrangement as ar
 from ..functions.kernels import shapes as sh
 from ..model import MULTI, FeatureFrame, Layer, df_of, pk_of
 from ..settings import Settings, tolerance
-from .common import coerce, fields, in_extent, kernel
+from .common import coerce, fields, in_extent, kernel, spread
 
 #: Members that one task unites at once; a larger group is united in levels.
 FAN_IN = 256
@@ -63,6 +63,17 @@ def united(df: DataFrame, keys: list[str], geom: str, id_: Column, dimension: in
     return kernel(one, geom, unite, ["__gs"], lists=("__gs",), drop=("__gs",))
 
 
+def gathered(pairs: DataFrame, keys: list[str], geom: str, order: str, few: bool, xy_tolerance: float | None) -> DataFrame:
+    """``keys`` and ``__ops``, the operator polygons that each of them meets.
+
+    With few operators in all they are listed as they are. Otherwise any feature may meet a great many, and what it meets
+    is united in levels first, so that no task takes more than ``FAN_IN`` of them.
+    """
+    if few:
+        return spread(pairs, *keys).groupBy(*keys).agg(F.collect_list(geom).alias("__ops"))
+    return united(pairs, keys, geom, F.col(order), 2, xy_tolerance).select(*keys, F.array(geom).alias("__ops"))
+
+
 def _cell(df: DataFrame) -> float:
     b = g.bbox(F.col("__g"))
     r = df.select(F.avg(b["xmax"] - b["xmin"]).alias("w"), F.avg(b["ymax"] - b["ymin"]).alias("h")).first()

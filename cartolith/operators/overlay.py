@@ -11,16 +11,17 @@ from ..functions.kernels import arrangement as ar
 from ..model import DIMENSION, MULTI, MULTILINE, MULTIPOINT, FeatureFrame
 from ..plans import spatial_join
 from ..settings import Settings, tolerance
-from .common import Algorithm, AttributeOption, OutputType, attribute_names, check_dimensions, coerce, in_extent, kernel, option, polygons_only, same_crs, spread
+from .common import Algorithm, AttributeOption, OutputType, attribute_names, check_dimensions, coerce, in_extent, kernel, option, polygons_only, same_crs
 from .extract import _sides
+from .generalization import gathered
 
 
 def _erased(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float | None) -> DataFrame:
     """``row`` and ``__g`` of all source features less the operators that they meet."""
     dim = source.meta.dimension
     left, right = _sides(source, operator)
-    met = spatial_join.join(left.select("id", "box"), right).select(F.col("l.id").alias("__id"), "r.geom")
-    met = spread(met, "__id").groupBy("__id").agg(F.collect_list("geom").alias("__ops"))
+    met = spatial_join.join(left.select("id", "box"), right).select(F.col("l.id").alias("__id"), "r.geom", F.col("r.id").alias("__op"))
+    met = gathered(met, ["__id"], "geom", "__op", spatial_join.is_few(right), xy_tolerance)
     all_ = left.join(met, left["id"].eqNullSafe(met["__id"]), "left")
     apart = all_.where("__ops is null").select("row", F.col("geom").alias("__g"))
     flat = all_.where("__ops is not null").select("row", F.col("geom").alias("__src"), "__ops")

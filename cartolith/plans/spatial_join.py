@@ -17,6 +17,11 @@ from ..functions import geometry as g
 FEW, MOST_CELLS, COARSER, LEVELS = 1000, 16, 8.0, 8
 
 
+def is_few(df: DataFrame) -> bool:
+    """Whether a side has at most ``FEW`` rows: reads no more than that."""
+    return df.limit(FEW + 1).count() <= FEW
+
+
 def cell_size(a: DataFrame, b: DataFrame) -> float:
     """Twice the mean side of the smaller layer's boxes, at least 1/1024 of its extent: one job over its boxes."""
     sides = []
@@ -63,7 +68,7 @@ def join(left: DataFrame, right: DataFrame, cell: float | None = None, within: f
     else:
         r = r.select(F.struct(*r.columns).alias("r"), F.col("box").alias("rb"))
     meet = g.boxes_meet(F.col("lb"), F.col("rb"))
-    if right.limit(FEW + 1).count() <= FEW:
+    if is_few(right):
         return l.join(F.broadcast(r), meet).select("l", "r")
     cell = cell or cell_size(left, right)
     # a row lives in the grid of its own size; a smaller one visits the coarser grids of the other side too

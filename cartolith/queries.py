@@ -385,22 +385,27 @@ def intersect_classic(spark, sf_dir):
     return d.select("fid_nation_tile_a", "fid_nation_tile_a_1", g.area(F.col("geom")).alias("area"))
 
 
-@query(f"""WITH {OB}, {TL}, {_CUT}, a AS (SELECT b.fid AS f, NULL::BIGINT AS t, (b.x1 - b.x0) * (b.y1 - b.y0) - coalesce(k.a, 0) AS area FROM ob b LEFT JOIN k ON k.fid = b.fid WHERE b.x0 % 10 = 3 AND b.y0 % 10 = 3)
-  SELECT f AS fid_order_box_a, area FROM a WHERE area > 0""")
+# unit cells that no order box covers: all coordinates are whole numbers
+_FREE = """bx AS (SELECT DISTINCT x0, y0, x1, y1 FROM ob), cell AS (SELECT x, y FROM range(0, 100) a(x), range(0, 100) b(y)),
+  free AS (SELECT x, y FROM cell WHERE NOT EXISTS (SELECT 1 FROM bx WHERE bx.x0 <= x AND bx.x1 >= x + 1 AND bx.y0 <= y AND bx.y1 >= y + 1))"""
+_LEFT = "SELECT b.fid AS f, NULL::BIGINT AS t, (b.x1 - b.x0) * (b.y1 - b.y0) - coalesce(k.a, 0) AS area FROM ob b LEFT JOIN k ON k.fid = b.fid"
+_RIGHT = "SELECT NULL::BIGINT AS f, t.fid AS t, count(*)::DOUBLE AS area FROM tl t JOIN free ON x >= t.x0 AND x < t.x1 AND y >= t.y0 AND y < t.y1 WHERE t.fid % 2 = 0 GROUP BY t.fid"
+
+
+def _areas(d: DataFrame) -> DataFrame:
+    return d.groupBy("fid_order_box_a", "fid_nation_tile_even_a").agg(F.round(F.sum(g.area(F.col("geom"))), 9).alias("area"))
+
+
+@query(f"""WITH {OB}, {TL}, {_CUT}, {_FREE}, a AS ({_LEFT}), z AS ({_RIGHT})
+  SELECT f AS fid_order_box_a, t AS fid_nation_tile_even_a, area FROM a WHERE area > 0 UNION ALL SELECT f, t, area FROM z""")
 def symmetrical_difference(spark, sf_dir):
-    o = L.order_boxes(spark, sf_dir)
-    o = extract.table_select(o, "bbox.xmin % 10 = 3 AND bbox.ymin % 10 = 3")
-    d = overlay.symmetrical_difference(o, L.tiles(spark, sf_dir, even=True), "only_fid").df.where("fid_order_box_a is not null")
-    return d.groupBy("fid_order_box_a").agg(F.round(F.sum(g.area(F.col("geom"))), 9).alias("area"))
+    return _areas(overlay.symmetrical_difference(L.order_boxes(spark, sf_dir), L.tiles(spark, sf_dir, even=True), "only_fid").df)
 
 
-@query(f"""WITH {OB}, {TL}, {_CUT}, s AS (SELECT * FROM ob WHERE x0 % 10 = 3 AND y0 % 10 = 3), a AS (SELECT b.fid AS f, NULL::BIGINT AS t, (b.x1 - b.x0) * (b.y1 - b.y0) - coalesce(k.a, 0) AS area FROM s b LEFT JOIN k ON k.fid = b.fid),
-  i AS (SELECT b.fid AS f, t.fid AS t, {SHARED} AS area FROM s b JOIN tl t ON {MEET} WHERE t.fid % 2 = 0)
-  SELECT f AS fid_order_box_a, t AS fid_nation_tile_even_a, area FROM a WHERE area > 0 UNION ALL SELECT f, t, area FROM i""")
+@query(f"""WITH {OB}, {TL}, {_CUT}, {_FREE}, a AS ({_LEFT}), z AS ({_RIGHT}), i AS (SELECT b.fid AS f, t.fid AS t, {SHARED} AS area FROM ob b JOIN tl t ON {MEET} WHERE t.fid % 2 = 0)
+  SELECT f AS fid_order_box_a, t AS fid_nation_tile_even_a, area FROM a WHERE area > 0 UNION ALL SELECT f, t, area FROM z UNION ALL SELECT f, t, area FROM i""")
 def union(spark, sf_dir):
-    o = extract.table_select(L.order_boxes(spark, sf_dir), "bbox.xmin % 10 = 3 AND bbox.ymin % 10 = 3")
-    d = overlay.union(o, L.tiles(spark, sf_dir, even=True), "only_fid").df.where("fid_order_box_a is not null")
-    return d.groupBy("fid_order_box_a", "fid_nation_tile_even_a").agg(F.round(F.sum(g.area(F.col("geom"))), 9).alias("area"))
+    return _areas(overlay.union(L.order_boxes(spark, sf_dir), L.tiles(spark, sf_dir, even=True), "only_fid").df)
 
 
 # --- proximity
@@ -483,13 +488,15 @@ def define_projection(spark, sf_dir):
     return projections.define_projection(L.customers(spark, sf_dir), "4326").df.select("fid", *xy())
 
 
-def _geographic(layer: FeatureFrame) -> FeatureFrame:
-    return layer.with_df(layer.df, crs="EPSG:4326")
+def _geographic(layer: FeatureFrame, shift: float = 50.0) -> FeatureFrame:
+    """A layer of [0, 100] squared moved about the equator, as degrees."""
+    moved = F.transform(layer.meta.geom, lambda p: F.transform(p, lambda r: F.transform(r, lambda v: g.vertex(v["x"] - shift, v["y"] - shift))))
+    return layer.with_df(layer.df.withColumn(layer.meta.geom, moved), crs="EPSG:4326")
 
 
 @query()
 def length_geodesic(spark, sf_dir):
-    t = _geographic(L.tracks(spark, sf_dir))
+    t = _geographic(L.tracks(spark, sf_dir), 0.0)
     low = F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: g.vertex(v["x"], v["y"] % 80))))
     t = t.with_df(t.df.withColumn("geom", low).withColumn("km", F.lit(0.0)))
     return features.calculate_geometry_attributes(t, "km", "length_geodesic", length_unit="km").df.select("fid", F.round("km", 6).alias("km"))
@@ -498,14 +505,13 @@ def length_geodesic(spark, sf_dir):
 @query()
 def area_geodesic(spark, sf_dir):
     t = _geographic(L.tiles(spark, sf_dir))
-    t = t.with_df(t.df.where("fid < 20").withColumn("km2", F.lit(0.0)))  # south of the pole
+    t = t.with_df(t.df.withColumn("km2", F.lit(0.0)))
     return features.calculate_geometry_attributes(t, "km2", "area_geodesic", area_unit="square kilometers").df.select("fid", F.round("km2", 3).alias("km2"))
 
 
 @query()
 def buffer_geodesic(spark, sf_dir):
-    c = L.lattice(spark, sf_dir)
-    c = _geographic(c.with_df(c.df.where("y < 80")))
+    c = _geographic(L.lattice(spark, sf_dir))
     d = proximity.buffer(c, "100 km").df
     return d.select("ORIG_FID", F.round(g.area(F.col("geom")), 6).alias("area"))
 

@@ -226,3 +226,15 @@ def test_conics_in_columns_and_floats(spark):
         a, b = there.df.select(v["x"], v["y"]).first(), projections.project(there, geographic).df.select(v["x"], v["y"]).first()
         assert tuple(a) == pytest.approx(projections.transform(geographic, code, x, y, floats=True), abs=1e-4)
         assert tuple(b) == pytest.approx((x, y), abs=1e-8)
+
+
+def test_many_operators_are_united_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(spatial_join, "FEW", 3)
+    monkeypatch.setattr(generalization, "FAN_IN", 4)
+    big = boxes(spark, [(1, 0.0, 0.0, 20.0, 10.0, "p")])
+    ops = boxes(spark, [(i, float(i), 0.0, i + 1.5, 5.0, "q") for i in range(15)], "b")
+    area = lambda layer: round(sum(r[0] for r in layer.df.select(g.area(F.col("geom"))).collect()), 9)
+    assert area(overlay.erase(big, ops)) == 200 - 15.5 * 5 and area(extract.clip(big, ops)) == 15.5 * 5
+    plain = FeatureFrame(big.df, FeatureMeta(POLYGON, rectangles=True)), FeatureFrame(ops.df, FeatureMeta(POLYGON, rectangles=True))
+    assert area(extract.clip(*plain)) == 15.5 * 5
+    assert area(extract.split(big, ops, "tag")) == 15.5 * 5

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut into slices of about this many text bytes before vectorised work.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts, where the session has the default of 10 000: a batch is held on both sides of the pipe.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +45,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, under fixed names, whatever else ``docs`` has."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return small_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")))
 
 
 def mix64(*cols: Column | str) -> Column:
@@ -51,6 +53,14 @@ def mix64(*cols: Column | str) -> Column:
     return F.xxhash64(F.lit(0x5EED), *cols)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to Python in Arrow batches of ``BATCH_ROWS``, unless the session has a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null becomes the empty text."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]

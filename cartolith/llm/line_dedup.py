@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, table, utf8
+from .common import sliced, small_batches, table, utf8
 
 #: Hashes joined by broadcast; 256 rows of 40 bytes.
 HOT = 256
@@ -56,7 +56,7 @@ def line_hashes(texts: DataFrame, min_chars: int) -> DataFrame:
                 ids += [doc_id] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "id"])
 
-    return texts.select("id", "text").mapInArrow(task, "key binary, id long")
+    return small_batches(texts.select("id", "text")).mapInArrow(task, "key binary, id long")
 
 
 def drops(texts: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -102,7 +102,7 @@ def _reassemble(packed: DataFrame, dropped: DataFrame, min_chars: int) -> DataFr
     joined = packed.join(dropped.hint("shuffle_hash"), "id", "left")  # the texts needn't be sorted for it
     carried = [f for f in joined.schema.fields if f.name not in ("text", "keys")]
     schema = T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *carried])
-    return joined.select("text", "keys", *[f.name for f in carried]).mapInArrow(task, schema)
+    return small_batches(joined.select("text", "keys", *[f.name for f in carried])).mapInArrow(task, schema)
 
 
 def digests(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, table, utf8
+from .common import sliced, small_batches, table, utf8
 
 DISTANCE = 3
 #: Members of a group that one comparison task holds at once, from either side.
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return texts.mapInArrow(task, "doc_id long, fp long")
+    return small_batches(texts).mapInArrow(task, "doc_id long, fp long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -330,7 +330,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
             f, n = wide_fingerprints_of(utf8(batch.column(1)), words, n_bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array(n, pa.int32())], ["doc_id", "f", "n"])
 
-    prints = table(texts.mapInArrow(task, "doc_id long, f binary, n int"), "wide-fingerprints")
+    prints = table(small_batches(texts).mapInArrow(task, "doc_id long, f binary, n int"), "wide-fingerprints")
     parts = _partitions(docs.sparkSession)
     nodes = table(prints.groupBy("f").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.count("*").alias("w")).where("node is not null").repartition(parts, "node"), "wide-nodes")
     keyed = _wide_keys(nodes, bits, segments, similarity)

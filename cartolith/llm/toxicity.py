@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, table, utf8
+from .common import id_and_text, sliced, small_batches, table, utf8
 
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
@@ -112,7 +112,7 @@ def _count(texts: DataFrame) -> DataFrame:
     """bucket, kind, n, mask of ``texts`` (text, kind), summed up by task."""
 
     def task(batches):
-        n, mask = np.zeros(5 * BUCKETS, np.int64), np.zeros(5 * BUCKETS, np.uint64)
+        n, mask = np.zeros(5 * BUCKETS, np.uint32), np.zeros(5 * BUCKETS, np.uint64)
         for batch in sliced(batches):
             h, doc = words_of(utf8(batch.column(0)))
             kind = batch.column(1).to_numpy().astype(np.int64)[doc]
@@ -121,15 +121,15 @@ def _count(texts: DataFrame) -> DataFrame:
                 continue
             of = keys >> 6
             at = np.flatnonzero(np.diff(of, prepend=-1))
-            n[of[at]] += np.add.reduceat(times, at)
+            n[of[at]] += np.add.reduceat(times, at).astype(np.uint32)
             mask[of[at]] |= np.bitwise_or.reduceat(np.uint64(1) << (keys & 63).astype(np.uint64), at)
         found = np.flatnonzero(n)
         for k in range(0, len(found), 100_000):
             part = found[k : k + 100_000]
-            columns = [pa.array((part % BUCKETS).astype(np.int32)), pa.array((part // BUCKETS).astype(np.int32)), pa.array(n[part]), pa.array(mask[part].view(np.int64))]
+            columns = [pa.array((part % BUCKETS).astype(np.int32)), pa.array((part // BUCKETS).astype(np.int32)), pa.array(n[part].astype(np.int64)), pa.array(mask[part].view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "n", "mask"])
 
-    return texts.select("text", "kind").mapInArrow(task, "bucket int, kind int, n long, mask long")
+    return small_batches(texts.select("text", "kind")).mapInArrow(task, "bucket int, kind int, n long, mask long")
 
 
 def _contexts(n: Column, mask: Column) -> Column:
@@ -246,7 +246,7 @@ def _calibrate(texts: DataFrame, sample: DataFrame, model: Model) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"])
 
     known = texts.join(F.broadcast(sample), "doc_id").select("text", "half", "toxic")
-    rows = known.mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(known).mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(2 * round((HIGH - LOW) / BIN))
     for r in rows:
         counts[r.key] = r.n
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = model.score(model.evidence(utf8(batch.column(1)))[2])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(task, "doc_id long, score double")
+    return id_and_text(docs).mapInArrow(task, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Model, cutoff: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -272,7 +272,7 @@ def keep(docs: DataFrame, model: Model, cutoff: float = 0.5, text_col: str = "te
             texts = utf8(batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array(model.score(model.evidence(texts)[2]) < cutoff))
 
-    return docs.mapInArrow(task, T.StructType(docs.schema.fields))
+    return small_batches(docs).mapInArrow(task, T.StructType(docs.schema.fields))
 
 
 def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,16 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_TURNS = 256
+_NONE = -(1 << 63)
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, block, turn, role, text under fixed names, without nulls but for conv_id."""
+    """conv, block, turn, role, text under fixed names, without nulls."""
     c = conversations
     text = F.replace(F.coalesce(c["text"].cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
     turn = c["turn"].cast("long")
     return c.select(
-        c["conv_id"].cast("long").alias("conv_id"),
+        F.coalesce(c["conv_id"].cast("long"), F.lit(_NONE)).alias("conv"),
         F.coalesce(F.floor(turn / BLOCK_TURNS), F.lit(-1)).cast("long").alias("block"),
         F.coalesce(turn, F.lit(-1)).cast("long").alias("turn"),
         F.coalesce(c["role"].cast("string"), F.lit("unknown")).alias("role"),
@@ -45,9 +46,11 @@ def header(role: Column, speaker: Column) -> Column:
 def rotate(conversations: DataFrame) -> DataFrame:
     """conv_id, speaker, block, n_turns, text, mask array<struct<start, end>>."""
     t = turns(conversations)
-    blocks = t.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = t.where("role <> 'system'").select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
-    both = blocks.join(speakers, blocks["conv_id"].eqNullSafe(speakers["of"])).select("conv_id", "speaker", "block", "turns")
+    blocks = t.groupBy("conv", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    # names meet block numbers first, without any text, so that texts go through one exchange only
+    speakers = t.where("role <> 'system'").select("conv", F.col("role").alias("speaker")).distinct()
+    wanted = t.select("conv", "block").distinct().join(speakers, "conv")
+    both = blocks.join(wanted, ["conv", "block"]).select(F.nullif("conv", F.lit(_NONE)).alias("conv_id"), "speaker", "block", "turns")
     shown = F.transform("turns", lambda m: F.struct(header(m["role"], F.col("speaker")).alias("head"), F.concat(m["text"], F.lit(END)).alias("body"), (m["role"] == F.col("speaker")).alias("own")))
     both = both.select("conv_id", "speaker", "block", shown.alias("shown"))
     sizes = F.transform("shown", lambda m: F.struct(F.length(m["head"]).alias("h"), F.length(m["body"]).alias("b"), m["own"].alias("own")))

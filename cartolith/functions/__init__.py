@@ -1,0 +1 @@
+"""Expressions, statistics, kernels and well-known binary."""

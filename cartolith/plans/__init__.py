@@ -1,0 +1 @@
+"""Plans that Catalyst can't find by itself."""

@@ -1,0 +1 @@
+"""Sources and sinks beyond Spark's own."""

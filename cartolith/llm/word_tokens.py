@@ -14,7 +14,7 @@ import sys
 from array import array
 
 #: Remembered keys per generation and worker (two generations). This bounds memory, not results.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s\xa0\x85a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 _ODD = re.compile(r"[^\x21-\x7e\xa1-\xff]|<\|")

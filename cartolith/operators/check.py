@@ -13,7 +13,7 @@ from ..functions import geometry as g
 from ..functions.kernels import arrangement as ar
 from ..model import FeatureFrame
 from ..settings import Extent
-from .common import kernel
+from .common import kernel, spread
 
 CHECKS = "extent empty empty_part empty_ring empty_point nan_z nan_m repeated_xy repeated_m mismatch_z mismatch_m point_count orientation unclosed self_intersection outside_ring overlap_ring".split()
 DEFAULT = tuple(c for c in CHECKS if c not in ("nan_z", "nan_m", "repeated_m", "mismatch_z", "mismatch_m"))
@@ -120,7 +120,7 @@ def check_geometry(source: FeatureFrame, check_options: Iterable[str] | None = N
     out = source.df.select(fid, F.explode(_reasons(source, wanted, grid)).alias("REASON"))
     topology = tuple(c for c in _TOPOLOGY if c in wanted)
     if source.meta.dimension == 2 and topology:
-        rows = kernel(source.df.select(fid, F.col(geom).alias("__g")), "__f", _topology(topology), ["__g"], drop=("__g",))
+        rows = kernel(spread(source.df.select(fid, F.col(geom).alias("__g")), "ORIG_FID"), "__f", _topology(topology), ["__g"], drop=("__g",))
         names = F.array(*[F.lit(c.upper()) for c in _TOPOLOGY])
         out = out.unionByName(rows.where("__f is not null").select("ORIG_FID", F.explode(F.transform(g.vertices(F.col("__f")), lambda v: F.get(names, v["x"].cast("int")))).alias("REASON")))
     if "extent" in wanted and declared_extent is not None:
@@ -145,7 +145,7 @@ def repair_geometry(source: FeatureFrame, drop_empty: bool = False) -> FeatureFr
         kept = [[r for r in p if len(r) >= least] for p in shape]
         return [p for p in kept if p] or None
 
-    df = kernel(source.df.drop("bbox").withColumnRenamed(geom, "__g"), geom, mend, ["__g"], drop=("__g",)).select(*[c for c in source.df.columns if c != "bbox"])
+    df = kernel(spread(source.df, source.meta.pk).drop("bbox").withColumnRenamed(geom, "__g"), geom, mend, ["__g"], drop=("__g",)).select(*[c for c in source.df.columns if c != "bbox"])
     return source.with_df(df.where(~g.is_empty(F.col(geom))) if drop_empty else df, rectangles=False)
 
 

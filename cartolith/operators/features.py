@@ -19,7 +19,7 @@ from ..model import LINE, MULTIPOLYGON, POINT, POLYGON, SINGLE, FeatureFrame, Fe
 from ..names import unique_name
 from ..settings import Settings, current
 from ..units import area_factor, length_factor
-from .common import fields, in_extent, kernel, option, resolve, with_orig_fid
+from .common import fields, in_extent, kernel, option, resolve, spread, with_orig_fid
 from .generalization import united
 from .projections import is_geographic, normal
 
@@ -253,7 +253,7 @@ def minimum_bounding_geometry(source: FeatureFrame, geometry_type="rectangle_by_
             df = df.withColumn("MBG_WIDTH", F.least(w, h)).withColumn("MBG_LENGTH", F.greatest(w, h)).withColumn("MBG_ORIENTATION", F.when(w > h, 90.0).otherwise(0.0))
         return source.with_df(df.drop("__b"), shape_type=shape, pk=fid, rectangles=True)
     if how == Group.NONE:
-        df, fid = with_orig_fid(rows, pk)
+        df, fid = with_orig_fid(spread(rows, pk), pk)
         df = df.withColumnRenamed(geom, "__g")
     else:
         part = F.pmod(F.xxhash64(F.col(pk)), F.lit(64)).alias("__p")

@@ -370,5 +370,13 @@ def test_sketches_recover_the_difference(spark):
     assert [r.near for r in got] == pytest.approx([10 / 15, 1, 0, 1])
 
 
+def test_every_paragraph_is_in_the_fingerprint(spark):
+    rng = random.Random(12)
+    lines = [words(rng, 4) for _ in range(200)]
+    texts = ["\n".join(x) for x in [lines, *(lines[:k] + ["another line here"] + lines[k + 1 :] for k in range(0, 200, 25))]]
+    found = fingerprints.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({x.fingerprint for x in found}) == len(texts)
+
+
 def test_schema_is_wide_enough():
     assert all(len(r) == len(SCHEMA.split(",")) for r in rows())

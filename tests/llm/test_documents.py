@@ -378,5 +378,27 @@ def test_every_paragraph_is_in_the_fingerprint(spark):
     assert len({x.fingerprint for x in found}) == len(texts)
 
 
+def test_likeness_is_that_of_whole_texts(spark):
+    rng = random.Random(12)
+    lines = [words(rng, 4) for _ in range(200)]
+    changed = [lines[:k] + ["another line here"] + lines[k + 1 :] for k in range(0, 200, 25)]
+    long = [words(rng, 3) for _ in range(13_000)]
+    # by descending ids each text is compared with the one before it in this list
+    texts = ["\n".join(x) for x in [lines[:100], *changed, lines, long]]
+    found = {r.doc_id: r for r in fingerprints.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len({r.fingerprint for r in found.values()}) == len(texts)
+
+    def near(a, b):
+        a, b = ({p for x in t.split("\n") for p in [" ".join(x.split()[i : i + 4]) for i in range(0, len(x.split()), 4)]} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    for k, text in enumerate(texts):
+        after = texts[k - 1]
+        third = len(text) // 3
+        assert found[k].near_next == pytest.approx(near(text, after))
+        assert found[k].near_edited == pytest.approx(near(text, text[: len(text) - third] + after[:third]))
+    assert found[len(texts) - 1].near_edited > 0.6
+
+
 def test_schema_is_wide_enough():
     assert all(len(r) == len(SCHEMA.split(",")) for r in rows())

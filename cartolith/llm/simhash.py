@@ -25,8 +25,6 @@ three words is one shingle; rows with a null id take part, and a component's id
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -250,151 +248,124 @@ def digests(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- the same for a looser similarity, by wider fingerprints
-
+# --- near copies at a looser similarity: MinHash candidates, exact Jaccard
 
-def angle(similarity: float) -> float:
-    """The share of SimHash bits in which sets of that Jaccard similarity differ on average."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+#: Rows of a band and bands: a pair at 0.8 shares no band with a probability of (1 - 0.8^5)^28, or 0.000015. SimHash segments
+#: of a fixed width would have to be some hundreds for that, as the angle at 0.8 differs in 15 % of the bits.
+ROWS, BANDS = 5, 28
+_FACTORS, _TURNS = np.random.default_rng(0x5EED).integers(1 << 63, size=(2, ROWS * BANDS), dtype=np.uint64)
+_FACTORS |= np.uint64(1)
 
 
-def shape(rows: int, similarity: float, recall: float = 0.95) -> tuple[int, int]:
-    """Bits of a segment, and segments, of the fingerprints for so many rows.
-
-    A segment has a few bits more than rows need to be told apart, so that unrelated ones hardly share one; and there
-    are so many segments that pairs at the similarity share one whole with probability ``recall``, nearer ones more.
-    """
-    bits = max(12, min(32, math.ceil(math.log2(max(2, rows))) + 2))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - angle(similarity)) ** bits))
-
-
-def wide_fingerprints_of(texts: list[bytes], words: int, n_bits: int) -> tuple[list[bytes], list[int]]:
-    """Fingerprints of ``n_bits`` (a multiple of 64), and numbers of distinct shingles."""
+def shingles_of(text: bytes, words: int) -> np.ndarray:
+    """The sorted distinct hashes of a UTF-8 text's word shingles; all words are one shingle where there are fewer."""
     import xxhash
 
     hash64 = xxhash.xxh64_intdigest
-    steps = np.arange(1, n_bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    out, sizes = [], []
-    for text in texts:
-        parts = text.translate(_LOWER).split()
-        joined = b" ".join(parts)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        if len(parts) <= words:
-            hashes = {hash64(joined, 42)} if parts else set()
-        else:
-            begins = np.concatenate([[0], ends[: len(parts) - words] + 1]).tolist()
-            hashes = {hash64(joined[a:b], 42) for a, b in zip(begins, ends[words - 1 :].tolist())}
-        sizes.append(len(hashes))
-        h = np.fromiter(hashes, np.uint64, len(hashes))
-        counts = np.zeros(n_bits, np.int64)
-        for at in range(0, len(h), 255):  # byte-wide counters hold 255, eight to a word
-            x = h[at : at + 255, None] + steps
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(32)
-            bits = np.unpackbits(x.view(np.uint8), axis=1)
-            counts += np.ascontiguousarray(bits).view(np.uint64).sum(axis=0).view(np.uint8)
-        out.append(np.packbits(2 * counts > len(h)).tobytes())
-    return out, sizes
-
-
-def _pair_kernel(limit: int):
-    """Keeps rows of pairs (a, b, fa, fb) whose fingerprints differ in at most ``limit`` bits."""
-
-    def task(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fa, fb = (np.stack([np.frombuffer(x, np.uint64) for x in batch.column(batch.schema.get_field_index(c)).to_pylist()]) for c in ("fa", "fb"))
-            near = np.bitwise_count(fa ^ fb).sum(axis=1, dtype=np.int64) <= limit
-            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b"))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(near)], ["a", "b", "near"])
-
-    return task
+    parts = text.translate(_LOWER).split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([hash64(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    begins = np.concatenate([[0], ends[: len(parts) - words] + 1]).tolist()
+    return np.unique(np.array([hash64(joined[a:b], 42) for a, b in zip(begins, ends[words - 1 :].tolist())], np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key of each band: the hash of its rows' least values over the shingles."""
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 256):
+        np.minimum(least, ((shingles[at : at + 256, None] ^ _TURNS) * _FACTORS).min(axis=0), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-6
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: groups of texts linked at a Jaccard similarity of word shingles, estimated by SimHash.
+    """doc_id, component_id: groups of texts linked at a Jaccard similarity of their sets of word shingles.
 
-    64 bits can't tell 0.8 from 0.6; here fingerprints are as wide as the number of rows asks for, and candidates are
-    pairs that have one segment whole in common and sizes that allow the similarity. Groups of a key are treated as
-    above: two are a pair, of more each member meets the anchor, and the rest is compared in blocks.
+    Candidates are pairs that share a MinHash band, whatever the number of rows, and each is judged by its exact
+    similarity. Groups of a key are treated as above: two are a pair, of more each member meets the anchor, and the
+    rest is compared in blocks. Texts of one set are folded first. Sets are made again for candidates only.
     """
+    import hashlib
+
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    bits, segments = shape(texts.count(), similarity)
-    n_bits = -(-bits * segments // 64) * 64
-    # the mean of pairs at the similarity and half a standard deviation: the estimate's own spread
-    limit = int(n_bits * angle(similarity) + 0.5 * math.sqrt(n_bits * angle(similarity) * (1 - angle(similarity))))
 
     def task(batches):
         for batch in sliced(batches):
-            f, n = wide_fingerprints_of(utf8(batch.column(1)), words, n_bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array(n, pa.int32())], ["doc_id", "f", "n"])
+            sets = [shingles_of(t, words) for t in utf8(batch.column(1))]
+            f = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "f", "keys"])
 
-    prints = table(small_batches(texts).mapInArrow(task, "doc_id long, f binary, n int"), "wide-fingerprints")
+    prints = table(small_batches(texts).mapInArrow(task, "doc_id long, f binary, keys array<long>"), "near-prints")
     parts = _partitions(docs.sparkSession)
-    nodes = table(prints.groupBy("f").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.count("*").alias("w")).where("node is not null").repartition(parts, "node"), "wide-nodes")
-    keyed = _wide_keys(nodes, bits, segments, similarity)
-    groups = table(keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1").withColumn("i", F.lit(0)), "wide-groups")
-    pairs = groups.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
+    nodes = table(prints.groupBy("f").agg(F.min("doc_id").alias("node"), F.count("*").alias("w"), F.any_value("keys").alias("keys")).where("node is not null").repartition(parts, "node"), "near-nodes")
+    keyed = nodes.select("node", "w", F.lit(0).alias("i"), F.explode("keys").alias("k"))
+    groups = table(keyed.groupBy("i", "k").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"), "near-keys")
+    pairs = groups.where("n = 2 and lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     large = groups.where("n > 2").select("i", "k", "n")
-    members = table(_maybe_in(keyed.withColumn("i", F.lit(0)), large).join(large, ["i", "k"]), "wide-members")
+    members = table(_maybe_in(keyed, large).join(large, ["i", "k"]), "near-members")
     anchors = members.groupBy("k").agg(F.max(F.struct("w", "node"))["node"].alias("anchor"))
-    starred = members.join(anchors, "k").where("anchor <> node").select("k", "n", F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b"), "node")
-    of = lambda p: p.join(nodes.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
-    candidates = pairs.union(starred.select("a", "b")).distinct()
-    judged = table(of(candidates).mapInArrow(_pair_kernel(limit), "a long, b long, near boolean"), "wide-pairs")
-    apart = starred.join(judged.where("not near"), ["a", "b"], "left_semi").select("k", "node")
-    found = judged.where("near").select("a", "b").union(_wide_blocks(members, apart, nodes, limit)).distinct()
+    starred = members.join(anchors, "k").where("anchor <> node").select("k", F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b"), "node")
+    candidates = table(pairs.union(starred.select("a", "b")).distinct(), "near-candidates")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def sets(batches):
+        for batch in sliced(batches):
+            s = [shingles_of(t, words).tobytes() for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], ["node", "s"])
+
+    of_wanted = small_batches(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"))
+    with_s = table(of_wanted.mapInArrow(sets, "node long, s binary").distinct(), "near-sets")  # several, if an id repeats
+
+    def judge(batches):
+        for batch in batches:
+            sa, sb = ([np.frombuffer(x, np.uint64) for x in batch.column(batch.schema.get_field_index(c)).to_pylist()] for c in ("sa", "sb"))
+            near = [alike(x, y, similarity) for x, y in zip(sa, sb)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in "ab"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+
+    of = candidates.join(with_s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(with_s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    judged = table(of.mapInArrow(judge, "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near")), "near-pairs")
+    apart = starred.join(judged.where("not near"), ["a", "b"], "left_semi").select("k", "node").distinct()
+    found = judged.where("near").select("a", "b").union(_near_blocks(members, apart, with_s, similarity)).distinct()
     roots = components(found)
     named = nodes.join(roots, "node", "left").select("f", "w", F.coalesce("root", "node").alias("component_id"))
-    of_f = table(named.select("f", "w", "component_id"), "wide-components")
+    of_f = table(named.select("f", "w", "component_id"), "near-components")
     hot = of_f.orderBy(F.desc("w"), "f").limit(HOT).select("f", "component_id")
     rest = prints.join(F.broadcast(hot.select("f")), "f", "left_anti").join(of_f.select("f", "component_id"), "f", "left")
     return prints.join(F.broadcast(hot), "f").select("doc_id", "component_id").unionByName(rest.select("doc_id", "component_id"))
 
 
-def _wide_keys(nodes: DataFrame, bits: int, segments: int, similarity: float) -> DataFrame:
-    """node, w, k: a key for every segment and for the class of sizes of its own and the next one.
-
-    Sizes of sets at the similarity differ by its factor at most, which is the width of a class.
-    """
-
-    def task(batches):
-        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):  # for the width of the bits
-            f = np.stack([np.frombuffer(x, np.uint8) for x in batch.column(1).to_pylist()])
-            b = np.unpackbits(f, axis=1)[:, : bits * segments].reshape(len(f), segments, bits)
-            values = b.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-            size = np.floor(np.log(np.maximum(1, batch.column(2).to_numpy())) / -math.log(similarity)).astype(np.int64)
-            both = np.stack([size, size + 1], axis=1)[:, :, None]
-            keys = ((both << 12 | np.arange(segments)) << 32 | values[:, None, :]).reshape(len(f), -1)
-            n = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(batch.column(3).to_numpy(), n)), pa.array(keys.reshape(-1))], ["node", "w", "k"])
-
-    return nodes.select("node", "f", "n", "w").mapInArrow(task, "node long, w long, k long")
-
-
-def _wide_blocks(members: DataFrame, apart: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+def _near_blocks(members: DataFrame, apart: DataFrame, with_s: DataFrame, similarity: float) -> DataFrame:
     """Links of the members ``apart`` from their anchor with all of their groups, block against block."""
     size = 256
     sizes = apart.groupBy("k").agg(F.count("*").alias("m"))
     block = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / size)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / size) - 1).cast("int")))
-    with_f = nodes.select("node", "f")
-    every = members.select("k", "n", "node").join(sizes, "k").join(with_f, "node")
-    left = apart.join(members.select("k", "n").distinct(), "k").join(sizes, "k").join(with_f, "node").select("k", block("m").alias("p"), others("n").alias("q"), "node", "f", F.lit(True).alias("mine"))
-    right = every.select("k", others("m").alias("p"), block("n").alias("q"), "node", "f", F.lit(False).alias("mine"))
+    every = members.select("k", "n", "node").distinct().join(sizes, "k").join(with_s, "node")
+    left = apart.join(members.select("k", "n").distinct(), "k").join(sizes, "k").join(with_s, "node").select("k", block("m").alias("p"), others("n").alias("q"), "node", "s", F.lit(True).alias("mine"))
+    right = every.select("k", others("m").alias("p"), block("n").alias("q"), "node", "s", F.lit(False).alias("mine"))
 
     def task(group):
         mine = group.column("mine").to_numpy(zero_copy_only=False)
         node = group.column("node").to_numpy()
-        f = np.stack([np.frombuffer(x, np.uint64) for x in group.column("f").to_pylist()])
-        a, b = [], []
-        for k in np.flatnonzero(mine):
-            near = (np.bitwise_count(f[~mine] ^ f[k]).sum(axis=1, dtype=np.int64) <= limit) & (node[~mine] != node[k])
-            hit = node[~mine][near]
-            a.append(np.minimum(hit, node[k]))
-            b.append(np.maximum(hit, node[k]))
-        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+        s = [np.frombuffer(x, np.uint64) for x in group.column("s").to_pylist()]
+        rest = np.flatnonzero(~mine).tolist()
+        near = [(node[x], node[y]) for x in np.flatnonzero(mine).tolist() for y in rest if node[x] != node[y] and alike(s[x], s[y], similarity)]
+        a, b = np.sort(np.array(near, np.int64).reshape(-1, 2), axis=1).T
         if len(a):
             a, b = _forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})

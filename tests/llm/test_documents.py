@@ -161,6 +161,28 @@ def test_near_copies_leave(spark):
     assert sum(r.doc_id is None for r in stayed) == 1
 
 
+def test_near_copies_are_judged_exactly(spark):
+    rng = random.Random(13)
+    docs, drops = [], {}
+    for k in range(400):
+        w = words(rng, 200).split()
+        v = w[: -rng.randint(14, 56)]
+        if k % 2:  # of equal sizes
+            v = list(w)
+            for at in rng.sample(range(20, 180), rng.randint(2, 7)):
+                v[at] = "changed"
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        drops[2 * k + 1] = jaccard(docs[-1][1], docs[-2][1]) >= 0.8
+    # one beginning in common, below the similarity, and copies within
+    base = words(rng, 150)
+    ends = [words(rng, 100) for _ in range(40)]
+    docs += [(1000 + k, f"{base} {ends[k % 20]}") for k in range(40)] + [(1100 + k, f"{base} {ends[k]} more") for k in range(20)]
+    drops |= {1000 + k: k >= 20 for k in range(40)} | {1100 + k: True for k in range(20)}
+    assert 100 < sum(drops.values()) < 350
+    kept = {r.doc_id for r in simhash.stage(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d for d in drops if d not in kept} == {d for d in drops if drops[d]} and set(range(0, 800, 2)) <= kept
+
+
 # --- toxicity
 
 

@@ -1,29 +1,33 @@
-"""Toxicity by class-conditional Kneser-Ney models with a shared backoff.
+"""Toxicity by class-conditional Kneser-Ney models of word pairs with a shared backoff.
 
-A word's evidence for a class is its Kneser-Ney continuation count: the number of distinct contexts (preceding
-words) it follows in that class's documents, not how often it occurs. A phrase that a thousand copies of one
-text repeat therefore counts once. Contexts are hashed to 64 cells of a bit mask, which merges by OR
-in any order; the count is estimated from the free cells, and is the plain count once contexts fill the mask.
+All counts are continuation counts, so that thousands of copies of one text count once: a word's count is the number
+of distinct words before it, a pair's the number of distinct words before the pair. The levels, each of which sums
+to one over all words, are
 
-    P_c(w) = max(n_c(w) - D, 0) / N_c  +  (D · types_c / N_c) · P_shared(w)
+    P_c(w | v) = max(b_c(vw) - D2 q_c(vw), 0) / B_c(v) + back_c(v) P_c(w)
+    P_c(w)     = max(a_c(w)  - D1 s_c,    0) / A_c    + back_c    P_shared(w)
 
-The backoff distribution is made of the counts of all documents, labelled or not. The class models part from
-it only for words that occur in significantly more (or fewer) contexts of one class than its share: any other
-word, rare ones above all, has the shared probability under both and doesn't move the comparison. A document's
-evidence is the difference of its log-likelihoods divided by its number of words. Isotonic regression, on
-documents scored by a model of the other half of the training documents, makes a probability of it.
+``P_shared`` is made of the counts of all documents, labelled or not, and grows with them: it smooths what a class
+hardly knows. ``a`` and ``b`` are class counts from which sampling noise has been discounted: a class's count is
+moved towards its share of both classes' count by ``NOISE`` standard deviations of that share, and stays at the share
+if it is nearer than that. Plain discounts of up to 64 leave the noise of common words and of copies in,
+which outweighs a few toxic words in a long text (README has the figures). ``s`` and ``q`` are the classes' shares of both.
 
-Counts live in ``BUCKETS`` hashed cells, so the model has a fixed size; labelled rows for the class counts and
-the calibration are a hash sample of at most about ``LABELLED`` (all of them while there are fewer). The
-backoff counts cover every document. Nothing but the text is an input of a score.
+A document's evidence is the difference of its two log-likelihoods divided by its number of words. Isotonic regression
+on labelled documents, each scored by a model of the other half of them, makes a probability of it.
 
-Defined results: null and empty texts have no words and evidence 0; without labels every score is 0.25; of
-several labels of a document the highest counts; a null id counts as held out; repeated rows are scored alike;
-an empty table gives no rows; other columns may have any names.
+Class counts and calibration are learnt from a hash sample of the labelled rows of at most ``SAMPLE_CHARS`` code points
+a class, as many for either class (distinct contexts grow less than in proportion, so classes of unlike size can't be
+compared); texts longer than a quarter of that don't enter the sample. Nothing but the text is an input of a score.
+
+Defined results: null and empty texts have no words and evidence 0; without labels of both classes every score is
+0.25; of several labels of a document the highest counts; a null id counts as held out; repeated rows are scored
+alike; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,18 +38,12 @@ from pyspark.sql import types as T
 
 from .common import id_and_text, sliced, small_batches, table, utf8
 
-BUCKET_BITS = 20
-BUCKETS = 1 << BUCKET_BITS
-#: Labelled rows that are learnt from, about, at most. They are broadcast: 16 bytes each.
-LABELLED = 400_000
-DISCOUNT = 0.9
-#: Standard deviations from a class's share at which a word's class counts count, and least contexts.
-SIGNIFICANT = 6.0
-LEAST_CONTEXTS = 4
-#: Filled cells of a mask (of 64) from which the plain count is taken.
-FULL_MASK = 48
-#: Evidence is calibrated in bins of this width between these ends.
-BIN, LOW, HIGH = 0.004, -0.4, 1.2
+#: Code points of labelled texts, a class, that are learnt from at most. The model has less than 4 bytes for each.
+SAMPLE_CHARS = 6_000_000
+#: Standard deviations of a class's share that are discounted from its counts.
+NOISE = 4.0
+#: Code points of text for each part of the shared counts, and word pairs that a task holds at once.
+PART_CHARS, HELD_PAIRS = 24_000_000, 1 << 22
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = np.zeros(256, np.uint8)  # lower-cased, or 0
@@ -54,10 +52,6 @@ _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(4095, _M)]), dtype=np.uint64)
 
-# The classes that documents are counted under: ordinary and toxic of either half, and all others
-ORDINARY_A, ORDINARY_B, TOXIC_A, TOXIC_B, OTHER = range(5)
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
@@ -82,85 +76,195 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(ends, starts, "right")
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0)) == 0
 
 
-def _context(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """One of 64 cells for the word before each one; a text's first word has cell 0."""
-    cell = (np.concatenate([np.zeros(1, np.uint64), h[:-1]]) * _M >> np.uint64(58)).astype(np.int64)
-    cell[np.diff(doc, prepend=-1) != 0] = 0
-    return cell
+def triples_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every word: the word before the one before it, the one before it, itself, and the number of its text. 0 is no word."""
+    w, doc = words_of(texts)
+    before = np.concatenate([np.zeros(1, np.uint64), w[:-1]])[: len(w)]
+    before[np.diff(doc, prepend=-1) != 0] = 0
+    second = np.concatenate([np.zeros(1, np.uint64), before[:-1]])[: len(w)]
+    second[before == 0] = 0
+    return second, before, w, doc
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0)) == 0
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _mix(w * _M + _mix(v))
 
 
-def _sample(labels: DataFrame, bound: int) -> DataFrame:
-    """doc_id, toxic, half: training labels, a hash sample of about ``bound`` of them."""
-    train = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    train = train.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    n = train.count()
-    if n > bound:
-        train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
-    half = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 > 2).cast("int")
-    return table(train.withColumn("half", half), "labels")
+# --- the shared level: distinct contexts of every word of all documents
+
+CONTEXT_BITS = 24
+_LOW = np.uint64((1 << CONTEXT_BITS) - 1)
+
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as zstandard-compressed byte planes of their differences."""
+    import zstandard
 
-def _count(texts: DataFrame) -> DataFrame:
-    """bucket, kind, n, mask of ``texts`` (text, kind), summed up by task."""
+    planes = np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def shared_counts(texts: DataFrame, chars: int) -> DataFrame:
+    """w (40 bits of a word's hash), n: cells of 2^24 that its contexts fill, in one or more rows a word.
+
+    A task sends each distinct pair of word and context once, in packed sorted blocks for each part. A word's pairs are
+    spread over as many parts as the corpus needs for no word to outgrow one, however frequent it is.
+    """
+    parts = max(1, math.ceil(chars / PART_CHARS))
+    salts = 1 + parts // 8
+
+    def blocks(held: list[np.ndarray]):
+        keys = np.unique(np.concatenate(held))
+        part = _mix((keys >> np.uint64(CONTEXT_BITS)) * _M + (keys & _LOW) % np.uint64(salts)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        found = [(k, _packed(keys[order[a:b]])) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["part", "keys"])
 
     def task(batches):
-        n, mask = np.zeros(5 * BUCKETS, np.uint32), np.zeros(5 * BUCKETS, np.uint64)
+        held, n = [], 0
         for batch in sliced(batches):
-            h, doc = words_of(utf8(batch.column(0)))
-            kind = batch.column(1).to_numpy().astype(np.int64)[doc]
-            keys, times = np.unique((kind * BUCKETS + _bucket(h)) * 64 + _context(h, doc), return_counts=True)
-            if not len(keys):
-                continue
-            of = keys >> 6
-            at = np.flatnonzero(np.diff(of, prepend=-1))
-            n[of[at]] += np.add.reduceat(times, at).astype(np.uint32)
-            mask[of[at]] |= np.bitwise_or.reduceat(np.uint64(1) << (keys & 63).astype(np.uint64), at)
-        found = np.flatnonzero(n)
-        for k in range(0, len(found), 100_000):
-            part = found[k : k + 100_000]
-            columns = [pa.array((part % BUCKETS).astype(np.int32)), pa.array((part // BUCKETS).astype(np.int32)), pa.array(n[part].astype(np.int64)), pa.array(mask[part].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "n", "mask"])
-
-    return small_batches(texts.select("text", "kind")).mapInArrow(task, "bucket int, kind int, n long, mask long")
-
-
-def _contexts(n: Column, mask: Column) -> Column:
-    """Distinct contexts: from the mask by linear counting, or the plain count when it is full."""
-    filled = F.bit_count(mask)
-    free = -64 * F.log(1 - F.least(filled, F.lit(63)) / 64)
-    return F.when(filled >= FULL_MASK, n.cast("double")).otherwise(F.least(n.cast("double"), free))
+            _, v, w, _ = triples_of(utf8(batch.column(0)))
+            held.append(np.unique((w & ~_LOW) | (_mix(v) >> np.uint64(64 - CONTEXT_BITS))))
+            n += len(held[-1])
+            if n > HELD_PAIRS:
+                held = [np.unique(np.concatenate(held))]
+                n = len(held[0])
+                if n > HELD_PAIRS // 2:
+                    yield from blocks(held)
+                    held, n = [], 0
+        if n:
+            yield from blocks(held)
+
+    def count(group):
+        keys = np.unique(np.concatenate([_unpacked(x) for x in group.column("keys").to_pylist()]))
+        w, n = np.unique(keys >> np.uint64(CONTEXT_BITS), return_counts=True)
+        return pa.table({"w": pa.array(w.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    return small_batches(texts.select("text")).mapInArrow(task, "part int, keys binary").groupBy("part").applyInArrow(count, "w long, n long")
+
+
+def _contexts(cells: Column) -> Column:
+    """Distinct contexts by the cells they fill (linear counting): the same estimator at every size."""
+    m = float(1 << CONTEXT_BITS)
+    return -m * F.log1p(-F.least(cells, F.lit(m - 1)) / m)
+
+
+# --- the classes
+
+
+def toward(n: np.ndarray, expected: np.ndarray, variance: np.ndarray, noise: float = NOISE) -> np.ndarray:
+    """Counts moved towards what is expected by ``noise`` standard deviations, and no further."""
+    d = n - expected
+    return expected + np.sign(d) * np.maximum(np.abs(d) - noise * np.sqrt(variance + 1), 0)
+
+
+def _discount(n: np.ndarray) -> float:
+    """Ney's estimate by the counts of counts."""
+    one, two = float((n == 1).sum()), float((n == 2).sum())
+    return min(max(one / (one + 2 * two), 0.1), 0.95) if one else 0.5
 
 
 @dataclass
-class Model:
-    """Log-likelihood ratios of the buckets that have one, and the calibration of their mean."""
+class KneserNey:
+    """Both classes' probabilities, ordinary and toxic, of words and of words after others."""
+
+    words: np.ndarray  # sorted hashes
+    p_word: np.ndarray  # (2, words)
+    back: np.ndarray  # (2,): the factor of the shared probability
+    contexts: np.ndarray  # sorted hashes
+    p_back: np.ndarray  # (2, contexts)
+    pairs: np.ndarray  # sorted hashes of context and word
+    p_pair: np.ndarray  # (2, pairs)
+
+
+def estimate(v: np.ndarray, w: np.ndarray, n: np.ndarray, shared: dict | tuple[np.ndarray, np.ndarray], noise: float = NOISE) -> KneserNey:
+    """The models of the pairs ``v`` ``w``, of which the classes have seen ``n`` (2, pairs) distinct predecessors.
+
+    ``shared``: sorted words and their shared probabilities.
+    """
+    seen = n.sum(axis=0) > 0
+    v, w, n = v[seen], w[seen], n[:, seen].astype(float)
+    words, iw = np.unique(w, return_inverse=True)
+    p_shared = shared[1][np.searchsorted(shared[0], words)]
+    m = np.stack([np.bincount(iw, c > 0, len(words)) for c in n])
+    both, s = m.sum(axis=0), m.sum(axis=1) / m.sum()
+    toxic = toward(m[1], s[1] * both, both * s[0] * s[1], noise)
+    a = np.stack([both - toxic, toxic])
+    d = _discount(both) * s[:, None]
+    total = a.sum(axis=1)
+    back = np.minimum(a, d).sum(axis=1) / total
+    p_word = np.maximum(a - d, 0) / total[:, None] + back[:, None] * p_shared
+
+    contexts, iv = np.unique(v, return_inverse=True)
+    by = np.stack([np.bincount(iv, c, len(contexts)) for c in n])
+    q = (by + s[:, None]) / (by.sum(axis=0) + 1)
+    both = n.sum(axis=0)
+    lean = q[1][iv] * ((a[1] + d[1]) * s[0] / ((a[0] + d[0]) * s[1]))[iw]  # as much as its words' counts lean
+    share = lean / (lean + q[0][iv])
+    toxic = toward(n[1], share * both, both * share * (1 - share), noise)
+    b = np.stack([both - toxic, toxic])
+    d = _discount(both) * np.stack([1 - share, share])
+    total = np.stack([np.bincount(iv, c, len(contexts)) for c in b])
+    some = np.where(total > 0, total, 1)
+    p_back = np.where(total > 0, np.stack([np.bincount(iv, c, len(contexts)) for c in np.minimum(b, d)]) / some, 1)
+    p_pair = np.maximum(b - d, 0) / some[:, iv] + p_back[:, iv] * p_word[:, iw]
+    keys = _pair(v, w)
+    order = np.argsort(keys)
+    return KneserNey(words, p_word, back, contexts, p_back, keys[order], p_pair[:, order])
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), default)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], default)
+
 
-    buckets: np.ndarray  # int64
-    ratios: np.ndarray  # (models, buckets): of both halves, and of all
+@dataclass
+class Model:
+    """Log-likelihood ratios, toxic to ordinary, of pairs, contexts and words, and the calibration of their mean."""
+
+    words: np.ndarray
+    word: np.ndarray
+    unknown: float = 0.0
+    contexts: np.ndarray | None = None
+    context: np.ndarray | None = None
+    pairs: np.ndarray | None = None
+    pair: np.ndarray | None = None
     calibration: np.ndarray | None = None  # probability of each bin
 
+    @classmethod
+    def of(cls, kn: KneserNey) -> Model:
+        ratio = lambda p: np.log(p[1] / p[0]).astype(np.float32)
+        return cls(kn.words, ratio(kn.p_word), float(np.log(kn.back[1] / kn.back[0])), kn.contexts, ratio(kn.p_back), kn.pairs, ratio(kn.p_pair))
+
+    @classmethod
+    def empty(cls) -> Model:
+        none, zero = np.empty(0, np.uint64), np.empty(0, np.float32)
+        return cls(none, zero, 0.0, none, zero, none, zero)
+
     def evidence(self, texts: list[bytes]) -> np.ndarray:
-        """Mean log-likelihood ratio per word, for each model and text."""
-        h, doc = words_of(texts)
-        dense = self.__dict__.get("_dense")
-        if dense is None:
-            dense = np.zeros((len(self.ratios), BUCKETS), np.float32)
-            dense[:, self.buckets] = self.ratios
-            self.__dict__["_dense"] = dense
-        words = np.maximum(1, np.bincount(doc, minlength=len(texts)))
-        at = _bucket(h)
-        return np.stack([np.bincount(doc, row[at], len(texts)) / words for row in dense])
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_dense"}
+        """Mean log-likelihood ratio per word of each text."""
+        _, v, w, doc = triples_of(texts)
+        n = np.maximum(1, np.bincount(doc, minlength=len(texts)))
+        # each distinct pair is looked up once
+        keys, first, back = np.unique(_pair(v, w), return_index=True, return_inverse=True)
+        backed = _look_up(self.contexts, self.context, v[first], 0.0) + _look_up(self.words, self.word, w[first], self.unknown)
+        found = _look_up(self.pairs, self.pair, keys, np.nan)
+        return np.bincount(doc, np.where(np.isnan(found), backed, found)[back], len(texts)) / n
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         """Probabilities; a small strictly rising part keeps the order within a step."""
@@ -170,8 +274,12 @@ class Model:
         return np.clip(0.99 * self.calibration[bin_of(evidence)] + 0.01 * fine, 0, 1)
 
 
+BINS = 800
+
+
 def bin_of(evidence: np.ndarray) -> np.ndarray:
-    return np.clip((evidence - LOW) / BIN, 0, round((HIGH - LOW) / BIN) - 1).astype(np.int64)
+    """Bins that are narrow around 0 and wider away from it."""
+    return np.clip(np.floor(40 * np.arcsinh(2000 * evidence)) + BINS // 2, 0, BINS - 1).astype(np.int64)
 
 
 def isotonic(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -192,64 +300,88 @@ def isotonic(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+def _sample(texts: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame, list[float]] | None:
+    """text, toxic, half of the labelled rows that are learnt from, and the sampling rate of either class; None without both classes."""
+    train = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    train = train.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    half = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 > 2).cast("int")
+    known = texts.withColumn("n", F.length("text").cast("long")).where(F.col("n") <= bound // 4).join(train, "doc_id").withColumn("half", half)
+    chars = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    target = min(bound, chars.get(0) or 0, chars.get(1) or 0)
+    if not target:
+        return None
+    rates = [target / chars[0], target / chars[1]]
+    cut = F.when(F.col("toxic") == 1, int(rates[1] * (1 << 30))).otherwise(int(rates[0] * (1 << 30)))
+    return table(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= cut).select("text", "toxic", "half"), "labelled"), rates
+
+
+def _class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """v, w and, for halves 0 and 1 and both and either class, the distinct words before that pair: (3, 2, pairs)."""
+
+    def task(batches):
+        for batch in sliced(batches):
+            u, v, w, doc = triples_of(utf8(batch.column(0)))
+            kind = (2 * batch.column(2).to_numpy() + batch.column(1).to_numpy())[doc]
+            keys = np.stack([v.view(np.int64), w.view(np.int64), u.view(np.int64), (1 << kind).astype(np.int64)], axis=1)
+            keys = np.unique(keys, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]) for k in range(4)], ["v", "w", "u", "kind"])
+
+    rows = small_batches(sample.select("text", "toxic", "half")).mapInArrow(task, "v long, w long, u long, kind long")
+    rows = rows.groupBy("v", "w", "u").agg(F.bit_or("kind").alias("kind"))
+    of = {f"n{h}{c}": mask for h, by in enumerate(((1, 2), (4, 8), (5, 10))) for c, mask in enumerate(by)}
+    counts = rows.groupBy("v", "w").agg(*[F.sum(F.when(F.col("kind").bitwiseAND(F.lit(m)) != 0, 1).otherwise(0)).cast("int").alias(k) for k, m in of.items()])
+    found = counts.toArrow()  # bounded by the sample
+    n = np.stack([found.column(k).to_numpy() for k in of]).reshape(3, 2, -1)
+    return found.column("v").to_numpy().view(np.uint64), found.column("w").to_numpy().view(np.uint64), n
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    sample = _sample(labels, labelled)
-    known = texts.join(F.broadcast(sample), "doc_id", "left")
-    kind = F.when(F.col("toxic").isNull(), OTHER).otherwise(2 * F.col("toxic") + F.col("half")).cast("int")
-    counts = _count(known.select("text", kind.alias("kind")))
-    of = lambda k: F.col("kind") == k
-    sums = [F.coalesce(F.sum(F.when(of(k), F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(5)]
-    masks = [F.coalesce(F.bit_or(F.when(of(k), F.col("mask"))), F.lit(0)).alias(f"m{k}") for k in range(5)]
-    counts = table(counts.groupBy("bucket").agg(*sums, *masks), "word-counts")
-
-    def pooled(*kinds: int) -> Column:
-        n, mask = F.col(f"n{kinds[0]}"), F.col(f"m{kinds[0]}")
-        for k in kinds[1:]:
-            n, mask = n + F.col(f"n{k}"), mask.bitwiseOR(F.col(f"m{k}"))
-        return _contexts(n, mask)
-
-    models = [(ORDINARY_A,), (TOXIC_A,)], [(ORDINARY_B,), (TOXIC_B,)], [(ORDINARY_A, ORDINARY_B), (TOXIC_A, TOXIC_B)]
-    columns = {"shared": pooled(*range(5))} | {f"c{j}{c}": pooled(*pair[c]) for j, pair in enumerate(models) for c in (0, 1)}
-    weights = counts.select("bucket", *[v.alias(k) for k, v in columns.items()])
-    least = lambda c: F.least(F.col(c), F.lit(DISCOUNT))
-    totals = weights.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns], *[F.coalesce(F.sum(least(c)), F.lit(0.0)).alias(f"d{c}") for c in columns]).first()
-    ratios = []
-    for j in range(3):
-        n = [totals[f"c{j}{c}"] for c in (0, 1)]
-        if min(n) <= 0:
-            ratios.append(F.lit(0.0).alias(f"r{j}"))
-            continue
-        backoff = (F.col("shared") + 0.5) / (totals["shared"] + 0.5 * BUCKETS)
-        p = [(F.col(f"c{j}{c}") - least(f"c{j}{c}")) / n[c] + totals[f"dc{j}{c}"] / n[c] * backoff for c in (0, 1)]
-        both, share = F.col(f"c{j}0") + F.col(f"c{j}1"), n[1] / (n[0] + n[1])
-        z = (F.col(f"c{j}1") - share * both) / F.sqrt(F.greatest(both * share * (1 - share), F.lit(1e-9)))
-        apart = (z >= SIGNIFICANT) & (F.col(f"c{j}1") >= LEAST_CONTEXTS) | (z <= -SIGNIFICANT)
-        ratios.append(F.when(apart, F.log(p[1]) - F.log(p[0])).otherwise(0.0).alias(f"r{j}"))
-    rows = weights.select("bucket", *ratios).where("r0 <> 0 or r1 <> 0 or r2 <> 0").toPandas()  # at most BUCKETS
-    model = Model(rows["bucket"].to_numpy(np.int64), rows[["r0", "r1", "r2"]].to_numpy(np.float32).T.copy())
-    if totals["c20"] > 0 and totals["c21"] > 0:
-        model.calibration = _calibrate(texts, sample, model)
+    sampled = _sample(texts, labels, sample_chars)
+    if sampled is None:
+        return Model.empty()
+    sample, rates = sampled
+    v, w, n = _class_counts(sample)
+    if not len(w):
+        return Model.empty()
+    chars = texts.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
+    cells = table(shared_counts(texts, chars), "shared-counts")
+    every = cells.groupBy("w").agg(_contexts(F.sum("n")).alias("n"))
+    totals = every.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    words = np.unique(w)
+    names = docs.sparkSession.createDataFrame(pa.table({"w": pa.array((words >> np.uint64(CONTEXT_BITS)).astype(np.int64))}))
+    own = every.join(F.broadcast(names.distinct()), "w").toArrow()  # bounded by the sample
+    at = np.argsort(own.column("w").to_numpy())
+    count = _look_up(own.column("w").to_numpy()[at].view(np.uint64), own.column("n").to_numpy()[at], words >> np.uint64(CONTEXT_BITS), 0.0)
+    shared = words, (count + 0.5) / (totals.n + 0.5 * (totals.words + 1))
+    halves = [Model.of(estimate(v, w, c, shared)) if c.sum(axis=1).all() else None for c in n]
+    model = halves[2]
+    if model is None:
+        return Model.empty()
+    model.calibration = _calibrate(sample, rates, [halves[0] or model, halves[1] or model])
     return model
 
 
-def _calibrate(texts: DataFrame, sample: DataFrame, model: Model) -> np.ndarray:
+def _calibrate(sample: DataFrame, rates: list[float], halves: list[Model]) -> np.ndarray:
     """Each half's documents by the other half's model: counts of bins and labels, then isotonic regression."""
 
     def task(batches):
         for batch in sliced(batches):
-            half, toxic = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            by_half = model.evidence(utf8(batch.column(0)))
-            found = np.where(half == 0, by_half[1], by_half[0])
+            toxic, half = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            texts = utf8(batch.column(0))
+            found = np.empty(len(texts))
+            for k in (0, 1):
+                own = np.flatnonzero(half == k)
+                if len(own):
+                    found[own] = halves[1 - k].evidence([texts[i] for i in own.tolist()])
             keys, times = np.unique(bin_of(found) * 2 + toxic, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"])
 
-    known = texts.join(F.broadcast(sample), "doc_id").select("text", "half", "toxic")
-    rows = small_batches(known).mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(2 * round((HIGH - LOW) / BIN))
+    rows = small_batches(sample.select("text", "toxic", "half")).mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(2 * BINS)
     for r in rows:
-        counts[r.key] = r.n
+        counts[r.key] = r.n / rates[r.key % 2]
     return isotonic(counts[1::2], counts[0::2] + counts[1::2])
 
 
@@ -258,7 +390,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def task(batches):
         for batch in sliced(batches):
-            found = model.score(model.evidence(utf8(batch.column(1)))[2])
+            found = model.score(model.evidence(utf8(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(task, "doc_id long, score double")
@@ -270,7 +402,7 @@ def keep(docs: DataFrame, model: Model, cutoff: float = 0.5, text_col: str = "te
     def task(batches):
         for batch in sliced(batches, text_col):
             texts = utf8(batch.column(batch.schema.get_field_index(text_col)))
-            yield batch.filter(pa.array(model.score(model.evidence(texts)[2]) < cutoff))
+            yield batch.filter(pa.array(model.score(model.evidence(texts)) < cutoff))
 
     return small_batches(docs).mapInArrow(task, T.StructType(docs.schema.fields))
 

@@ -213,6 +213,77 @@ def test_toxicity_on_held_out_documents(spark):
     assert {r.score for r in none} == {0.25} and toxicity.digests(df.limit(0), lab).count() == 0
 
 
+def pair_counts(seed=3):
+    """v, w and distinct predecessors (2, pairs) of random sentences over few words, with a leaning of class 1."""
+    rng = random.Random(seed)
+    seen = [set(), set()]
+    for c in (0, 1):
+        for _ in range(400):
+            line = [0, 0] + [rng.choice([3, 5, 8, 13, 21] if c == 0 or rng.random() < 0.6 else [34, 55]) for _ in range(8)]
+            seen[c] |= set(zip(line, line[1:], line[2:]))
+    pairs = sorted({(v, w) for s in seen for _, v, w in s})
+    n = [[sum(1 for t in s if t[1:] == p) for p in pairs] for s in seen]
+    return np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.uint64), np.array(n)
+
+
+def test_kneser_ney_sums_to_one_and_is_what_a_dictionary_gives():
+    v, w, n = pair_counts()
+    words = np.unique(w)
+    rest = 0.1  # of the shared probability: words that the classes don't know
+    shared = np.arange(1, len(words) + 1) / sum(range(1, len(words) + 1)) * (1 - rest)
+    for noise in (0.0, 4.0):
+        kn = toxicity.estimate(v, w, n, (words, shared), noise)
+        assert kn.p_word.sum(axis=1) + kn.back * rest == pytest.approx([1, 1])
+        p = {}
+        for k, x in enumerate(kn.contexts.tolist()):
+            for c in (0, 1):
+                of = {y: kn.p_pair[c][np.searchsorted(kn.pairs, toxicity._pair(np.array([x], np.uint64), np.array([y], np.uint64)))[0]] for a, y in zip(v.tolist(), w.tolist()) if a == x}
+                others = 1 - sum(kn.p_word[c][np.searchsorted(words, y)] for y in of)
+                assert sum(of.values()) + kn.p_back[c][k] * others == pytest.approx(1)
+                p |= {(c, x, y): q for y, q in of.items()}
+        if noise == 0:
+            # plainly: no noise is taken off (but for the share that a count may have by chance)
+            count = {(c, x, y): int(n[c][k]) for c in (0, 1) for k, (x, y) in enumerate(zip(v.tolist(), w.tolist()))}
+            follows = {c: Counter(y for (d, _, y), m in count.items() if d == c and m) for c in (0, 1)}
+            total = {c: sum(follows[c].values()) for c in (0, 1)}
+            both = Counter(follows[0]) + Counter(follows[1])
+            ones, twos = (sum(m == k for m in both.values()) for k in (1, 2))
+            d = ones / (ones + 2 * twos) if ones else 0.5
+            for c in (0, 1):
+                cut = min(max(d, 0.1), 0.95) * total[c] / (total[0] + total[1])
+                back = sum(min(follows[c][y], cut) for y in both) / total[c]
+                for k, y in enumerate(words.tolist()):
+                    assert kn.p_word[c][k] == pytest.approx(max(follows[c][y] - cut, 0) / total[c] + back * shared[k])
+
+
+def test_shared_counts_are_exact(spark, monkeypatch):
+    rng = random.Random(14)
+    texts = [words(rng, rng.randint(0, 60)) for _ in range(300)] + [None, ""]
+    expected = Counter(w for _, w in {(v, w) for t in texts if t for v, w in zip(["", *t.lower().split()], t.lower().split())})
+    for held, part in ((1 << 22, 24_000_000), (50, 500)):
+        monkeypatch.setattr(toxicity, "HELD_PAIRS", held)
+        monkeypatch.setattr(toxicity, "PART_CHARS", part)
+        rows = toxicity.shared_counts(spark.createDataFrame([(t,) for t in texts], "text string"), 20_000).groupBy("w").agg(F.sum("n").alias("n")).collect()
+        assert Counter(r.n for r in rows) == Counter(expected.values())
+
+
+def test_toxic_phrases_of_harmless_words(spark):
+    """Two words that both classes use alike, next to each other in toxic documents only, and always in that order."""
+    rng = random.Random(15)
+    docs, labels = [], []
+    for d in range(1200):
+        w = words(rng, 60).split()
+        pair = ["stone", "head"] if d % 4 == 0 else rng.choice([["stone", rng.choice(w), "head"], ["head", "of", "stone"]])
+        for _ in range(3):
+            at = rng.randrange(len(w))
+            w[at:at] = pair
+        docs.append((d, " ".join(w)))
+        labels.append((d, int(d % 4 == 0)))
+    found = toxicity.digests(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in found if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) > 0.97 * len(held)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     df = spark.createDataFrame([(d, f"word{d % 7} text here") for d in range(300)], "doc_id long, text string")
     lab = spark.createDataFrame([(d, int(d % 7 == 0)) for d in range(300)], "doc_id long, toxic int")
@@ -288,6 +359,25 @@ def test_more_spans_are_learnt(spark):
     assert all("secret" not in by[i] and "phone" in by[i] for i in range(40, 80))
 
 
+def test_running_totals(spark, monkeypatch):
+    monkeypatch.setattr(pii, "STEP", 3)
+    rng = random.Random(17)
+    given = [[rng.randint(-5, 9) for _ in range(n)] for n in (0, 1, 2, 3, 4, 9, 10, 40)]
+    df = spark.createDataFrame([(x,) for x in given], "a array<int>")
+    for r in df.select("a", pii.running(F.col("a"), pii._sum).alias("s"), pii.running(F.col("a"), F.greatest, -100).alias("m")).collect():
+        assert r.s == np.cumsum(r.a).tolist() and r.m == np.maximum.accumulate(np.array(r.a, int)).tolist()
+
+
+def test_texts_of_many_spans(spark):
+    text = " ".join(f"10.0.{i // 250}.{i % 250} é 4111 1111 1111 {i:04d} x" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.digests(df).first()
+    spans = spans_by_hand(text)
+    assert r.n_ip == 20_000 and r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans))
+    clean = pii.stage(df).first().text
+    assert clean.count("<IP>") == 20_000 and "10.0." not in clean
+
+
 def test_redaction(spark):
     df = frame(spark)
     done = pii.stage(df)
@@ -329,7 +419,28 @@ def test_exact_bounds():
         assert quality.binomial_cdf(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
         assert quality.binomial_cdf(k, n, quality.upper_bound(k, n, 0.05)) == pytest.approx(0.05)
     assert quality.upper_bound(0, 59, 0.05) < 0.05 < quality.upper_bound(0, 58, 0.05)
-    assert quality.choose([0, 0, 9], [1, 5, 9], 1000, 0.01, 0.05) == 1 and quality.choose([0], [5], 10, 0.01, 0.05) is None
+    assert quality.certified([0, 0, 9], 1000, 0.01, 0.05) == 2 and quality.certified([0], 10, 0.01, 0.05) == 0
+    assert quality.least_good(0.05, 0.05) == 59
+    assert quality.propose({"a": ([0, 5], [9, 9]), "b": ([0, 1], [0, 20])}) == [("a", 0), ("b", 1)]
+
+
+def test_no_stratum_loses_more_good_documents_than_promised(spark):
+    """Rules that tell nothing apart, tested again and again on fresh documents: few draws lose more than alpha for good."""
+    rng = np.random.default_rng(16)
+    alpha, delta, draws = 0.05, 0.1, 300
+    broken = certified = 0
+    for _ in range(draws):
+        cell = lambda n: rng.binomial(24, 0.12, n)  # noqa: E731  # the cutoffs that a document violates
+        good, bad = cell(150), cell(150) + rng.integers(0, 3)
+        beyond = lambda x: [int((x >= 24 - k).sum()) for k in range(24)]
+        path = quality.propose({"r": (beyond(good), beyond(bad))})
+        test = cell(400)
+        k = quality.certified([int((test >= 24 - j).sum()) for _, j in path], len(test), alpha, delta)
+        certified += k > 0
+        if k:
+            j = path[k - 1][1]
+            broken += (cell(200_000) >= 24 - j).mean() > alpha
+    assert certified > 20 and broken <= delta * draws
 
 
 def test_cutoffs_find_junk_and_keep_the_good(spark):

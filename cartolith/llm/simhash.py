@@ -16,6 +16,9 @@ Copies are folded first: only distinct fingerprints are keyed. Fingerprints that
   component already. Only members that aren't linked to it are compared with the whole group, in
   blocks of bounded size, again keeping one link per member and block instead of all pairs.
 
+Every pair passes the budgets of the chain that begins at its key's segment before its full distance is taken. None is
+lost by that: two fingerprints that are near have such a chain at some segment, and meet in the group of a key of it.
+
 Links are closed by alternating large-star and small-star rounds over DataFrames until nothing changes.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a text of fewer than
@@ -118,7 +121,9 @@ def links(fps: DataFrame) -> DataFrame:
     """a, b with a < b: enough links between the distinct ``fps`` (fp, w: how many rows have it) to connect all
     that are within 3 bits. The anchor of a group is its most frequent member.
     """
-    keyed = fps.select("fp", "w", F.explode(_keys(F.col("fp"))).alias("key")).select("fp", "w", "key.i", "key.k")
+    # a table of few small files is read by few tasks: spread it before each row becomes 68
+    spread = fps.repartition(_partitions(fps.sparkSession), "fp")
+    keyed = spread.select("fp", "w", F.explode(_keys(F.col("fp"))).alias("key")).select("fp", "w", "key.i", "key.k")
     groups = keyed.groupBy("i", "k").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
     groups = table(groups, "simhash-groups")
     lo, hi, fp, i = F.col("lo"), F.col("hi"), F.col("fp"), F.col("i")
@@ -129,7 +134,7 @@ def links(fps: DataFrame) -> DataFrame:
     anchors = members.groupBy("i", "k").agg(F.max(F.struct("w", "fp"))["fp"].alias("anchor"))
     members = members.join(anchors, ["i", "k"])
     anchor = F.col("anchor")
-    linked = distance(anchor, fp) <= DISTANCE  # whether or not the chain begins here: the link is real
+    linked = _chain(anchor, fp, i)  # then the full distance
     anchored = members.where(linked & (anchor != fp)).select(F.least(anchor, fp).alias("a"), F.greatest(anchor, fp).alias("b"))
     return pairs.unionByName(anchored).unionByName(_blocks(members, members.where(~linked))).distinct()
 
@@ -164,9 +169,16 @@ def _blocks(members: DataFrame, apart: DataFrame) -> DataFrame:
         mine = group.column("mine").to_numpy(zero_copy_only=False)
         fp = group.column("fp").to_numpy()
         own, all_ = np.unique(fp[mine]), np.unique(fp[~mine])
+        turn = np.uint64(16 * (group.column("i")[0].as_py() // 17))
         a, b = [], []
         for x in own:  # one link of each pair of rows that are near: at most BLOCK² and folded below
-            near = all_[(np.bitwise_count(np.bitwise_xor(all_, x)) <= DISTANCE) & (all_ != x)]
+            apart = np.bitwise_xor(all_, x).view(np.uint64)
+            if turn:
+                apart = (apart << turn) | (apart >> (np.uint64(64) - turn))
+            fine = np.ones(len(all_), bool)
+            for j in range(4):  # 0, 1, 2 and 3 bits in the first one, two, three and four segments
+                fine[fine] = np.bitwise_count(apart[fine] >> np.uint64(48 - 16 * j)) <= j * DISTANCE // 3
+            near = all_[fine & (all_ != x)]
             if len(near):
                 a.append(np.minimum(near, x))
                 b.append(np.maximum(near, x))
@@ -208,10 +220,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = table(edges.select("a", "b").distinct(), "links")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(low, "b")
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        joined = _with_least(large, low, "b")
         # the node itself and its smaller neighbours hang from the smallest
         small = joined.select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct()
         new = table(small, "links")
@@ -225,6 +237,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
 
 
+def _with_least(edges: DataFrame, low: DataFrame, end: str) -> DataFrame:
+    """``edges`` with the ``m`` of their ``end``: the ``HOT`` nodes with most edges, such as the centre of a giant star, by broadcast."""
+    hot = F.broadcast(low.orderBy(F.desc("n"), end).limit(HOT).select(end, "m"))
+    rest = edges.join(F.broadcast(hot.select(end)), end, "left_anti").join(low.select(end, "m"), end)
+    return edges.join(hot, end).unionByName(rest)
+
+
 def _partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -232,7 +251,7 @@ def _partitions(spark) -> int:
 def groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that can be reached over links, its own included."""
     prints = table(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("w")).repartition(_partitions(docs.sparkSession), "fp"), "distinct-fingerprints")
+    distinct = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("w")), "distinct-fingerprints")
     nodes = components(links(distinct.select("fp", "w")))
     named = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "w", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -312,8 +331,8 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
 
     prints = table(small_batches(texts).mapInArrow(task, "doc_id long, f binary, keys array<long>"), "near-prints")
     parts = _partitions(docs.sparkSession)
-    nodes = table(prints.groupBy("f").agg(F.min("doc_id").alias("node"), F.count("*").alias("w"), F.any_value("keys").alias("keys")).where("node is not null").repartition(parts, "node"), "near-nodes")
-    keyed = nodes.select("node", "w", F.lit(0).alias("i"), F.explode("keys").alias("k"))
+    nodes = table(prints.groupBy("f").agg(F.min("doc_id").alias("node"), F.count("*").alias("w"), F.any_value("keys").alias("keys")).where("node is not null"), "near-nodes")
+    keyed = nodes.repartition(parts, "node").select("node", "w", F.lit(0).alias("i"), F.explode("keys").alias("k"))
     groups = table(keyed.groupBy("i", "k").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"), "near-keys")
     pairs = groups.where("n = 2 and lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     large = groups.where("n > 2").select("i", "k", "n")

@@ -29,32 +29,38 @@ from .word_tokens import word_tokens
 GROUP_PIECES = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: With a number of each row within its task: it decides about the group, once it is written down.
+CUT = PIECES + ", row long"
 
 
 def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``capacity`` ids, as rows of ``PIECES`` (and ``ids array<int>``)."""
+    """Pieces of at most ``capacity`` ids, as rows of ``CUT`` (and ``ids array<int>``)."""
 
     def task(batches):
+        from pyspark import TaskContext
+
         tokens, end, width = word_tokens(path), struct.pack("<I", end_id), 4 * capacity
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], [], [], []]
             ids = []
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 found = tokens.ids(text) + end
                 for piece, at in enumerate(range(0, len(found), width)):
                     part = found[at : at + width]
-                    for c, v in zip(cols, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
+                    for c, v in zip(cols, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), row)):
                         c.append(v)
+                    row += 1
                     if with_ids:
                         ids.append(np.frombuffer(part, "<u4").astype(np.int32))
             arrays = [pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(cols)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
             if with_ids:
                 arrays.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select("doc_id", "text").mapInArrow(task, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(task, CUT + (", ids array<int>" if with_ids else ""))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +99,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows that have ``PIECES``. ``pieces`` is read twice: give a table."""
+    """Add ``sequence_id`` and ``offset`` to rows that have ``CUT``. ``pieces`` is read twice: give a table."""
     spark = pieces.sparkSession
     groups = max(1, math.ceil(pieces.count() / group_pieces))
 
@@ -106,8 +112,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIEC
         sequence += key[0].as_py() << 32
         return group.drop(["group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    # groups of nearly the same size whatever the ids are: a hash of the piece, not of its document
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("group")
+    # groups of nearly the same size whatever the rows are, equal ones included
+    group = F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group")
     keyed = pieces.select(*PIECES_COLUMNS, group)
     return keyed.groupBy("group").applyInArrow(task, PIECES + ", sequence_id long, offset long")
 

@@ -15,6 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from cartolith.llm import byte_bpe, packing, token_files
 from cartolith.llm.word_tokens import WordTokens, word_tokens
 
@@ -172,11 +174,17 @@ def test_packing(spark, library):
 
 
 def test_packing_in_groups(spark):
-    df = spark.createDataFrame([(i, 0, 0, 1 + i * 37 % 100, i) for i in range(400)], packing.PIECES)
+    df = spark.createDataFrame([(i, 0, 0, 1 + i * 37 % 100, i, i) for i in range(400)], packing.CUT)
     found = packing.pack(df, 100, group_pieces=100).collect()
     assert len(found) == 400 and check_packing(found, 100) <= -(-sum(p.length for p in found) // 100) + 12
 
 
+def test_equal_rows_are_many_groups(spark):
+    df = spark.range(200_000).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "1L as length", "7L as ids_crc32", "id as row")
+    sizes = packing.pack(df, 2048, group_pieces=20_000).groupBy((F.col("sequence_id") / (1 << 32)).cast("int")).count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 30_000
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=60))
 def test_sum_of_squares_by_its_definition(lengths):

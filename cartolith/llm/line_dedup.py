@@ -9,14 +9,14 @@ hashes to drop, which meets the texts in one join on the document id; a last pas
 lines by position.
 
 Defined results: a null or empty text is one empty line. Rows that share a document id count as one
-document and are treated alike. Rows with a null id count together as one document below all others.
+document and are treated alike. A row with a null id is a document of its own below all others (rows of equal text are one).
 An empty table gives no rows. Other columns may have any names.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,6 @@ from .common import sliced, small_batches, table, utf8
 #: Hashes joined by broadcast; 256 rows of 40 bytes.
 HOT = 256
 WHITE = b" \t\n\x0b\x0c\r"
-_NO_ID = -(1 << 63)
 
 
 def key_of(line: bytes, min_chars: int) -> bytes | None:
@@ -36,6 +35,11 @@ def key_of(line: bytes, min_chars: int) -> bytes | None:
     return key
 
 
+def _key_of_row(doc_id: Column, text: Column) -> Column:
+    """The id, or one made of the text in a range that ids don't use: null ids mustn't meet in one group."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)) + F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1)))
+
+
 def _digest():
     import xxhash
 
@@ -74,7 +78,7 @@ def drops(texts: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame
 def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text as struct ``row``, with ``kept`` text, ``n_lines`` and ``n_dropped``."""
     packed = docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")
+        _key_of_row(docs[id_col], docs[text_col]).alias("id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")
     )
     return _reassemble(packed, drops(packed.select("id", "text"), min_chars, min_docs), min_chars)
 
@@ -108,7 +112,7 @@ def _reassemble(packed: DataFrame, dropped: DataFrame, min_chars: int) -> DataFr
 def digests(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
     slim = docs.select(docs["doc_id"], docs["text"])
-    packed = slim.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text", "doc_id")
+    packed = slim.select(_key_of_row(F.col("doc_id"), F.col("text")).alias("id"), "text", "doc_id")
     done = _reassemble(packed, drops(packed.select("id", "text"), min_chars, min_docs), min_chars)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 

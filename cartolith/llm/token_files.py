@@ -13,7 +13,7 @@ The document table has document ids, a null mask and lengths.
 renaming it when complete: a repeated or speculative task writes the same bytes and replaces them.
 
 Defined results: a null text is an empty text (only the end id); rows with a null id come first;
-repeated ids keep all their rows, ordered by text; an empty table gives no files and no rows;
+repeated ids keep all their rows, ordered by a hash of the text; an empty table gives no files and no rows;
 other columns are ignored.
 """
 
@@ -181,7 +181,8 @@ def write(docs: DataFrame, folder: str, encode: Callable[[], Callable[[bytes], b
             system.move(own, f"{path}/{name}")
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(writer.ids)], "n_ids": [writer.n_ids]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))  # a much repeated id is several ranges
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return sorted(ordered.mapInArrow(task, MANIFEST).collect(), key=lambda r: r.part)
 
 

@@ -51,26 +51,67 @@ _NEEDS = {"email": "@", "phone": "+"}
 CUES = "token|key|secret|password|passwort|passwd|pwd|clave|mot de passe|mail|e-mail|correo|courriel|phone|tel|telefon|téléphone|teléfono|call|mobile|card|karte|carte|tarjeta|account|konto|compte|cuenta|iban|ssn|passport|contact|ip|address|adresse"
 COUNTER_CUES = "version|license|licence|isbn|issn|page|figure|table|section|chapter|http|www|doi|rfc|revision|commit|build"
 
+#: Code points that the cue labelers look at: a cue stands right before what it announces, the longest has 12.
+BEFORE, AFTER = 32, 4
+
 SPAN = "array<struct<start:int,end:int,kind:int,value:string,before:string,after:string>>"
 
 
+#: Elements of a running total that are added up one by one; arrays are cut into blocks of so many, so that the work is linear.
+STEP = 256
+
+
+def _let(x: Column, body) -> Column:
+    """``body`` of ``x``, which is evaluated once."""
+    return F.get(F.transform(F.array(x), lambda v: body(v)), F.lit(0))
+
+
+def _cut(a: Column) -> Column:
+    """The array in blocks of ``STEP``; one empty block if it is empty."""
+    last = F.greatest(F.floor((F.size(a) - 1) / STEP).cast("int"), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(a, j * STEP + 1, F.lit(STEP)))
+
+
+def running(values: Column, op, start: int = 0) -> Column:
+    """For each of the integers, ``op`` (associative) of it and all before it."""
+
+    def one(a: Column) -> Column:
+        zero = F.struct(F.lit(start).alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def add(s: Column, x: Column) -> Column:
+            return _let(op(s["at"], x).cast("int"), lambda y: F.struct(y.alias("at"), F.concat(s["out"], F.array(y)).alias("out")))
+
+        return F.aggregate(a, zero, add)
+
+    def joined(blocks: Column) -> Column:
+        def add(s: Column, b: Column) -> Column:
+            return F.struct(op(s["at"], b["at"]).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+        before = F.aggregate(blocks, F.struct(F.lit(start).alias("at"), F.array().cast("array<int>").alias("out")), add, lambda s: s["out"])
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.transform(b["out"], lambda x: op(at, x).cast("int"))))
+
+    return _let(values, lambda v: _let(F.transform(_cut(v), one), joined))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _found(text: Column, name: str, kind: int) -> Column:
     """All matches of a pattern, leftmost first, with a little of the text around them."""
     pattern = PATTERNS[name]
-    parts, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    m = F.size(values)
-    around = F.zip_with(F.slice(parts, F.lit(1), m), F.slice(parts, F.lit(2), m), lambda a, b: F.struct(F.length(a).alias("n"), F.right(a, F.lit(32)).alias("before"), F.left(b, F.lit(4)).alias("after")))
-    both = F.zip_with(around, values, lambda a, v: F.struct(a["n"].alias("n"), F.length(v).alias("m"), v.alias("value"), a["before"].alias("before"), a["after"].alias("after")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def add(s: Column, x: Column) -> Column:
-        start = s["at"] + x["n"]
-        span = F.struct(start.alias("start"), (start + x["m"]).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct((start + x["m"]).alias("at"), F.concat(s["out"], F.array(span)).cast(SPAN).alias("out"))
-
-    found = F.aggregate(both, zero, add, lambda s: s["out"])
+
+    def of(v: Column) -> Column:
+        parts, values = v["parts"], v["values"]
+        m = F.size(values)
+        gaps = F.zip_with(F.slice(parts, F.lit(1), m), values, lambda a, x: F.length(a) + F.length(x))
+        around = F.zip_with(F.slice(parts, F.lit(1), m), F.slice(parts, F.lit(2), m), lambda a, b: F.struct(F.right(a, F.lit(BEFORE)).alias("before"), F.left(b, F.lit(AFTER)).alias("after")))
+        placed = F.zip_with(running(gaps, _sum), values, lambda e, x: F.struct((e - F.length(x)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), x.alias("value")))
+        return F.zip_with(placed, around, lambda s, w: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), w["before"].alias("before"), w["after"].alias("after")))
+
+    both = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
     needed = F.contains(text, F.lit(_NEEDS[name])) if name in _NEEDS else F.rlike(text, F.lit("[0-9]"))
-    return F.when(needed, found).otherwise(F.array().cast(SPAN))
+    return F.when(needed, _let(both, of).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def _digits(value: Column) -> Column:
@@ -118,10 +159,22 @@ def spans(docs: DataFrame, text: Column) -> DataFrame:
     kept = {name: F.filter(f"{name}__", _checks(name)) for name in PATTERNS}
     kept["number"] = F.transform(F.filter("card__", _checks("number")), lambda s: s.withField("kind", F.lit(KINDS.index("number"))))
     judged = matched.select("*", F.array_sort(F.concat(*[kept[k] for k in BASE])).alias("base"), F.array_sort(F.concat(*[kept[k] for k in KINDS[len(BASE) :]])).alias("others__"))
-    apart = F.filter("others__", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    apart = _let(F.array_sort(F.concat("base", "others__")), _apart)
     return judged.select("*", F.when(F.size("others__") > 0, apart).otherwise(F.col("others__")).alias("more")).drop(*[f"{n}__" for n in PATTERNS], "others__")
 
 
+def _apart(all_: Column) -> Column:
+    """The spans of further kinds that overlap none of a base kind, of all spans in order: by the last end before and the first start after each."""
+    is_base = lambda s: s["kind"] < len(BASE)
+    far = (1 << 31) - 1
+    until = running(F.transform(all_, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), F.greatest)
+    starts = F.reverse(F.transform(all_, lambda s: F.when(is_base(s), s["start"]).otherwise(far)))
+    since = F.reverse(running(starts, F.least, far))
+    around = F.zip_with(until, since, lambda u, v: F.struct(u.alias("u"), v.alias("v")))
+    free = F.zip_with(all_, around, lambda s, w: F.when(~is_base(s) & (w["u"] <= s["start"]) & (w["v"] >= s["end"]), s))
+    return F.filter(free, lambda s: s.isNotNull())
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
@@ -278,14 +331,20 @@ def digests(docs: DataFrame) -> DataFrame:
 def redact(text: Column, found: Column) -> Column:
     """``text`` with each of the sorted spans ``found`` replaced by its kind in angle brackets; overlaps are taken together."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        more = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.get(names, x["kind"]))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, more).otherwise(s["out"]).alias("out"))
+    def of(spans_: Column) -> Column:
+        done = running(F.transform(spans_, lambda s: s["end"]), F.greatest)
+        placed = lambda d: F.zip_with(spans_, F.concat(F.array(F.lit(0)), d), lambda s, at: F.when(s.isNotNull(), F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        return _let(done, lambda d: _let(F.slice(placed(d), F.lit(1), F.size(spans_)), lambda p: F.concat(F.array_join(F.transform(_cut(p), block), ""), F.substring(text, F.element_at(d, -1) + 1, F.lit(2147483647)))))
+
+    def block(p: Column) -> Column:
+        # a block's spans are cut from its own stretch of the text
+        begin = F.get(p, F.lit(0))["at"]
+        own = F.substring(text, begin + 1, F.array_max(F.transform(p, lambda s: s["end"])) - begin)
+        piece = lambda t: lambda s: F.when(s["start"] >= s["at"], F.concat(F.substring(t, s["at"] - begin + 1, s["start"] - s["at"]), F.get(names, s["kind"]))).otherwise("")
+        return _let(own, lambda t: F.array_join(F.transform(p, piece(t)), ""))
 
-    return F.aggregate(found, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2147483647))))
+    return F.when(F.size(found) == 0, text).otherwise(_let(found, of))
 
 
 def stage(docs: DataFrame) -> DataFrame:

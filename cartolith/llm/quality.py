@@ -2,16 +2,18 @@
 
 Every document gets counts of its words, symbols, lines and repetitions. Two fixed rules fail a document
 outright (``base_failed``). All further rules have cutoffs that are chosen from labelled documents, separately
-for each stratum (language) and rule: along a fixed grid, from lenient to strict, a cutoff is certified while
-the exact binomial test rejects, at level ``delta`` / (strata x rules), that more than ``alpha`` / rules of the
-stratum's good documents would be lost. Testing in that fixed order up to the first failure needs no
-correction along the grid; the Bonferroni correction covers strata and rules; and the rules' shares of ``alpha``
-add up. So with probability 1 - delta, every stratum loses at most ``alpha`` of its good documents to the
-rules. Among the certified cutoffs the one is taken that loses most bad documents for its good ones; a rule
-that finds no bad documents stays off. Only counts per stratum, rule and grid cell reach the driver.
-
-Defined results: a null or empty text has no words and fails; a null language is a stratum of its own; the
-``STRATA`` languages with most labels have strata of their own and all others share one; without labels
+for each stratum (language). A third of the labelled documents, by hash, proposes a path: from no cutoff at all, step
+by step, the next cutoff of some rule that finds most bad documents for the good ones it loses. The other two thirds
+test it: along the path, for all rules together, a step is certified while the exact binomial test rejects, at level
+``delta`` / strata, that more than ``alpha`` of the stratum's good documents would be lost. The path doesn't depend on the
+documents that test it, and testing in its order up to the first failure needs no correction along it; the
+Bonferroni correction covers the strata. So with probability 1 - delta, every stratum loses at most ``alpha`` of its
+good documents to the cutoffs.
+
+A stratum with fewer good documents for the test than could certify anything by themselves is pooled with all others
+of the kind. Only counts per stratum, rule and cell or step reach the driver, at most one in ``least_good`` labels.
+
+Defined results: a null or empty text has no words and fails; a null language counts as an empty one; without labels
 only the fixed rules apply; of several labels of a document the lowest counts; repeated rows are judged
 alike; an empty table gives no rows; other columns may have any names.
 """
@@ -27,8 +29,6 @@ from .common import table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
-#: Strata of their own; so many rows of cutoffs at most.
-STRATA = 64
 ALPHA, DELTA = 0.03, 0.05
 #: A good document that a cutoff loses weighs as much as so many bad ones that it finds.
 GOOD_WEIGHT = 10
@@ -125,63 +125,97 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def choose(good: list[int], bad: list[int], n_good: int, alpha: float, delta: float) -> int | None:
-    """The place on the grid of the certified cutoff with the most net gain, or None. ``good`` and ``bad``: lost at each."""
-    best, gain = None, 0.0
-    for k, (g, b) in enumerate(zip(good, bad)):
+def least_good(alpha: float, delta: float) -> int:
+    """Good documents without a loss that certify a share of ``alpha`` at level ``delta``."""
+    return math.ceil(math.log(delta) / math.log1p(-alpha))
+
+
+def propose(lost: dict[str, tuple[list[int], list[int]]]) -> list[tuple[str, int]]:
+    """A path of (rule, place on its grid): ``lost`` has the good and bad documents beyond each cutoff of a rule.
+
+    Each step is that of the best gain per document found; it ends where no cutoff gains.
+    """
+    at, path = dict.fromkeys(lost, -1), []
+    while True:
+        best, gain = None, 0.0
+        for rule, (good, bad) in sorted(lost.items()):
+            k0 = at[rule]
+            for k in range(k0 + 1, len(good)):
+                b, g = bad[k] - (bad[k0] if k0 >= 0 else 0), good[k] - (good[k0] if k0 >= 0 else 0)
+                if b - GOOD_WEIGHT * g > 0 and (b - GOOD_WEIGHT * g) / (b + g) > gain:
+                    best, gain = (rule, k), (b - GOOD_WEIGHT * g) / (b + g)
+        if best is None:
+            return path
+        at[best[0]] = best[1]
+        path.append(best)
+
+
+def certified(lost: list[int], n_good: int, alpha: float, delta: float) -> int:
+    """Steps of a path, from the first, that all pass the test; ``lost``: good documents lost up to each."""
+    for k, g in enumerate(lost):
         if n_good == 0 or binomial_cdf(g, n_good, alpha) > delta:
-            break
-        if b - GOOD_WEIGHT * g > gain:
-            best, gain = k, b - GOOD_WEIGHT * g
-    return best
+            return k
+    return len(lost)
+
+
+_OTHERS = "\0others"
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule ('' pools the strata that have none of their own).
+    """Cutoffs by stratum and rule; ``_OTHERS`` pools the strata that have none of their own.
 
     ``measured``: rows of ``measures``; ``labels``: doc_id, quality (1 good).
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    rows = measured.where(~base_failed()).join(known, "doc_id")
     values = rule_values()
     # the number of grid cutoffs that a document violates: cutoffs are in order, so it violates the last ones
-    cells = []
-    for name, sign, grid in RULES:
-        met = sum(((values[name] > c) if sign > 0 else (values[name] < c)).cast("int") for c in grid)
-        cells.append(F.struct(F.lit(name).alias("rule"), met.alias("n")))
-    counts = rows.select("stratum", "good", F.explode(F.array(*cells)).alias("c")).groupBy("stratum", "good", "c.rule", "c.n").count()
-    own = counts.where(F.col("good") & (F.col("rule") == RULES[0][0])).groupBy("stratum").agg(F.sum("count").alias("k")).orderBy(F.desc("k"), "stratum").limit(STRATA)
-    named = counts.join(F.broadcast(own.select("stratum", F.lit(True).alias("own"))), "stratum", "left")
-    pooled = named.groupBy(F.when(F.col("own"), F.col("stratum")).alias("stratum"), "good", "rule", "n").agg(F.sum("count").alias("count")).collect()
-    found: dict[str | None, dict] = {}
-    for r in pooled:  # strata x rules x grid x 2 at most
+    met = [sum(((values[name] > c) if sign > 0 else (values[name] < c)).cast("int") for c in grid).alias(name) for name, sign, grid in RULES]
+    rows = measured.where(~base_failed()).join(known, "doc_id").select("stratum", "good", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("test"), *met)
+    rows = table(rows, "labelled-measures")
+    least = least_good(alpha, delta)
+    own = [r.stratum for r in rows.where("good and test").groupBy("stratum").count().where(F.col("count") >= least).collect()]
+    named = F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(F.lit(_OTHERS)) if own else F.lit(_OTHERS)
+    rows = rows.withColumn("stratum", named)
+    cells = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("n")) for name, _, _ in RULES])
+    counts = rows.where("not test").select("stratum", "good", F.explode(cells).alias("c")).groupBy("stratum", "good", "c.rule", "c.n").count().collect()
+    found: dict[str, dict] = {}
+    for r in counts:
         found.setdefault(r.stratum, {}).setdefault(r.rule, {}).setdefault(r.good, {})[r.n] = r["count"]
-    level, share = delta / (max(1, len(found)) * len(RULES)), alpha / len(RULES)
+    sizes = {name: len(grid) for name, _, grid in RULES}
+    beyond = lambda by, size: [sum(c for n, c in by.items() if n >= size - k) for k in range(size)]
+    paths = {s: propose({name: (beyond(by.get(True, {}), sizes[name]), beyond(by.get(False, {}), sizes[name])) for name, by in rules.items()}) for s, rules in found.items()}
+    # the first step of its stratum's path that a document fails
+    step = F.lit(None).cast("int")
+    for s, path in paths.items():
+        fails = [F.when(F.col(rule) >= sizes[rule] - k, j) for j, (rule, k) in enumerate(path)]
+        if fails:
+            step = F.when(F.col("stratum") == s, F.coalesce(*fails)).otherwise(step)
+    tested: dict[str, dict] = {}
+    for r in rows.where("test and good").groupBy("stratum", step.alias("step")).count().collect():
+        tested.setdefault(r.stratum, {})[r.step] = r["count"]
     out: dict[str, dict[str, float]] = {}
-    for stratum, by_rule in found.items():
-        chosen = {}
-        for name, _, grid in RULES:
-            by = by_rule.get(name, {})
-            lost = {g: [sum(c for n, c in by.get(g, {}).items() if n >= len(grid) - k) for k in range(len(grid))] for g in (True, False)}
-            k = choose(lost[True], lost[False], sum(by.get(True, {}).values()), share, level)
-            if k is not None:
-                chosen[name] = grid[k]
-        out["\0others" if stratum is None else stratum] = chosen
-    return out
+    level = delta / max(1, len({*paths, *tested}))
+    grids = {name: grid for name, _, grid in RULES}
+    for s, path in paths.items():
+        by = tested.get(s, {})
+        lost = [sum(c for j, c in by.items() if j is not None and j <= k) for k in range(len(path))]
+        passed = path[: certified(lost, sum(by.values()), alpha, level)]
+        out[s] = {rule: grids[rule][k] for rule, k in passed}  # later steps of a rule are the stricter ones
+    return out | {s: {} for s in (*own, _OTHERS) if s not in out}
 
 
 def verdict(cutoffs: dict[str, dict[str, float]]) -> Column:
     """Whether a measured row keeps all rules of its stratum."""
     values, fine = rule_values(), ~base_failed()
-    named = [s for s in cutoffs if s != "\0others"]
+    named = [s for s in cutoffs if s != _OTHERS]
     for name, sign, _ in RULES:
-        of = [(s, c[name]) for s, c in cutoffs.items() if name in c and s != "\0others"]
+        of = [(s, c[name]) for s, c in cutoffs.items() if name in c and s != _OTHERS]
         cut = F.lit(None).cast("double")
         if of:
             cut = F.element_at(F.create_map(*[F.lit(x) for pair in of for x in pair]), F.col("stratum"))
-        if name in cutoffs.get("\0others", {}):
-            cut = F.when(F.col("stratum").isin(named), cut).otherwise(cutoffs["\0others"][name]) if named else F.lit(cutoffs["\0others"][name])
+        if name in cutoffs.get(_OTHERS, {}):
+            cut = F.when(F.col("stratum").isin(named), cut).otherwise(cutoffs[_OTHERS][name]) if named else F.lit(cutoffs[_OTHERS][name])
         fine = fine & ~F.coalesce((values[name] > cut) if sign > 0 else (values[name] < cut), F.lit(False))
     return fine
 

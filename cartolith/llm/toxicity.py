@@ -196,7 +196,7 @@ def estimate(v: np.ndarray, w: np.ndarray, n: np.ndarray, shared: dict | tuple[n
     ``shared``: sorted words and their shared probabilities.
     """
     seen = n.sum(axis=0) > 0
-    v, w, n = v[seen], w[seen], n[:, seen].astype(float)
+    v, w, n = v[seen], w[seen], n[:, seen].astype(np.float32)  # the arrays by pair are the driver's largest
     words, iw = np.unique(w, return_inverse=True)
     p_shared = shared[1][np.searchsorted(shared[0], words)]
     m = np.stack([np.bincount(iw, c > 0, len(words)) for c in n])
@@ -212,15 +212,15 @@ def estimate(v: np.ndarray, w: np.ndarray, n: np.ndarray, shared: dict | tuple[n
     by = np.stack([np.bincount(iv, c, len(contexts)) for c in n])
     q = (by + s[:, None]) / (by.sum(axis=0) + 1)
     both = n.sum(axis=0)
-    lean = q[1][iv] * ((a[1] + d[1]) * s[0] / ((a[0] + d[0]) * s[1]))[iw]  # as much as its words' counts lean
-    share = lean / (lean + q[0][iv])
+    lean = (q[1][iv] * ((a[1] + d[1]) * s[0] / ((a[0] + d[0]) * s[1]))[iw]).astype(np.float32)  # as much as its words' counts lean
+    share = lean / (lean + q[0][iv].astype(np.float32))
     toxic = toward(n[1], share * both, both * share * (1 - share), noise)
     b = np.stack([both - toxic, toxic])
-    d = _discount(both) * np.stack([1 - share, share])
+    d = np.float32(_discount(both)) * np.stack([1 - share, share])
     total = np.stack([np.bincount(iv, c, len(contexts)) for c in b])
     some = np.where(total > 0, total, 1)
     p_back = np.where(total > 0, np.stack([np.bincount(iv, c, len(contexts)) for c in np.minimum(b, d)]) / some, 1)
-    p_pair = np.maximum(b - d, 0) / some[:, iv] + p_back[:, iv] * p_word[:, iw]
+    p_pair = np.stack([(np.maximum(b[c] - d[c], 0) / some[c][iv] + p_back[c][iv] * p_word[c][iw]).astype(np.float32) for c in (0, 1)])
     keys = _pair(v, w)
     order = np.argsort(keys)
     return KneserNey(words, p_word, back, contexts, p_back, keys[order], p_pair[:, order])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as g
-from .model import LINE, MULTIPOLYGON, POINT, POLYGON, FeatureFrame, FeatureMeta
+from .model import LINE, MULTIPOINT, MULTIPOLYGON, POINT, POLYGON, FeatureFrame, FeatureMeta
 from .operators.features import xy_table_to_point
 
 
@@ -47,6 +47,27 @@ def tracks(spark: SparkSession, sf_dir: str) -> FeatureFrame:
     return FeatureFrame(df, FeatureMeta(LINE, name="event_track_l"))
 
 
+def streets(spark: SparkSession, sf_dir: str) -> FeatureFrame:
+    """A level line for each nation: from (n, 4 n + 1/2), 50 long."""
+    n = F.col("n_nationkey").cast("double")
+    ends = F.array(g.vertex(n, 4 * n + 0.5), g.vertex(n + 50, 4 * n + 0.5))
+    return FeatureFrame(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("fid"), "n_name", g.line(ends).alias("geom")), FeatureMeta(LINE, name="street_l"))
+
+
+def drives(spark: SparkSession, sf_dir: str) -> FeatureFrame:
+    """A level line of 1 to 8 for each order, in two pieces of which the second runs on from the first."""
+    x, y, n = (F.col("o_orderkey") % 97).cast("double"), (F.col("o_custkey") % 100 + 0.5).cast("double"), (1 + F.col("o_orderkey") % 8).cast("double")
+    ends = F.array(g.vertex(x, y), g.vertex(x + n / 2, y), g.vertex(x + n, y))
+    return FeatureFrame(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fid"), "o_orderstatus", g.line(ends).alias("geom")), FeatureMeta(LINE, name="drive_l"))
+
+
+def nation_points(spark: SparkSession, sf_dir: str) -> FeatureFrame:
+    """The customers of each nation as one feature of many points."""
+    c = customers(spark, sf_dir).df
+    df = c.groupBy(F.col("c_nationkey").cast("long").alias("fid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("fid", "geom"))), lambda s: F.get(s["geom"], F.lit(0))).alias("geom"))
+    return FeatureFrame(df, FeatureMeta(MULTIPOINT, name="nation_mp"))
+
+
 def order_parts(spark: SparkSession, sf_dir: str) -> FeatureFrame:
     boxes = order_boxes(spark, sf_dir).df
     df = boxes.groupBy(F.col("o_custkey").alias("fid")).agg(F.array_sort(F.collect_list(F.struct("fid", "geom"))).alias("parts"))

@@ -129,23 +129,6 @@ def with_orig_fid(df: DataFrame, pk: str, name: str = "ORIG_FID") -> tuple[DataF
     return df.withColumnRenamed(pk, name), name
 
 
-def numbered(df: DataFrame, pk: str, *order: str) -> DataFrame:
-    """New ids 1, 2, ... in the order of columns without a window over the whole table: counts by range, then offsets."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    start = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    counts = {r["__part"]: r["n"] for r in start.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row a partition
-    before, rows = 0, []
-    for p in sorted(counts):
-        rows.append((p, before))
-        before += counts[p]
-    if not rows:
-        return df.withColumn(pk, F.lit(0).cast("long"))
-    offsets = spark.createDataFrame(rows, "__part int, __before long")
-    out = start.join(F.broadcast(offsets), "__part").withColumn(pk, (F.col("__row") + F.col("__before") + 1).cast("long"))
-    return out.drop("__part", "__before", "__row")
-
-
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Partitioned by keys in as many tasks as a shuffle has: the grouping that follows reuses it, and kernels that
     work long on little data aren't put together in few tasks by size.
@@ -162,4 +145,3 @@ def kind(layer: Layer) -> str:
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]
-_ = df_of

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.kernels import arrangement as ar
-from ..model import MULTI, FeatureFrame, Layer, df_of, like
+from ..model import FeatureFrame, Layer, df_of, like
 from ..names import unique_names, valid_name
 from ..plans import spatial_join
 from ..settings import Settings, tolerance
@@ -69,7 +69,12 @@ def _clipped(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float |
     """Source rows (and ``by``) with their geometry cut to the operators that they meet."""
     geom, dim = source.meta.geom, source.meta.dimension
     left, right = _sides(source, operator, *([by] if by else []))
-    pairs = spatial_join.join(left, right)
+    pairs, over = spatial_join.join(left, right), operator.meta.dimension
+    if dim == 0 and over < 2:
+        hit = pairs.select("l", *([F.col(f"r.{by}").alias("__by")] if by else []), F.col("l.geom").alias("__src"), F.col("r.geom").alias("__o"))
+        hit = kernel(hit, "__part", ar.points_at, ["__src", "__o"], drop=("__src", "__o")).where("__part is not null")
+        one = hit.groupBy(F.col("l.id"), *(["__by"] if by else [])).agg(F.first("l").alias("l"), F.array_distinct(F.flatten(F.collect_list("__part"))).alias("__g"))
+        return one.select("l.row.*", "__g", *(["__by"] if by else []))
     if dim == 0:
         hit = pairs.select("l", *([F.col(f"r.{by}").alias("__by")] if by else []), F.col("r.geom").alias("og"))
         v = g.first_vertex(F.col("l.geom"))
@@ -93,8 +98,13 @@ def _clipped(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float |
         single = met.where(F.size("__ops") == 1).select(*keys, F.get("__ops", F.lit(0)).alias("__g"))
         many = kernel(met.where(F.size("__ops") > 1), "__g", lambda ops: ar.union(ops), ["__ops"], lists=("__ops",), drop=("__ops",))
         return back(single.unionByName(many.select(*keys, "__g"))).select("row.*", "__g", *named)
-    met = gathered(pairs.select(*ids, F.col("r.geom").alias("__o")), keys, "__o", "__op", few, xy_tolerance)
-    cut = (lambda s, ops: ar.intersection(s, ar.union(ops, xy_tolerance), xy_tolerance)) if dim == 2 else (lambda s, ops: ar.clip_line(s, ar.union(ops, xy_tolerance)))
+    met = gathered(pairs.select(*ids, F.col("r.geom").alias("__o")), keys, "__o", "__op", few, xy_tolerance, over)
+    if dim == 2:
+        cut = lambda s, ops: ar.intersection(s, ar.union(ops, xy_tolerance), xy_tolerance)
+    elif over == 2:
+        cut = lambda s, ops: ar.clip_line(s, ar.union(ops, xy_tolerance))
+    else:
+        cut = lambda s, ops: ar.clip_line(s, ar.joined(ops), lines=True)
     return kernel(back(met).select("row", "__src", "__ops", *named), "__g", cut, ["__src", "__ops"], lists=("__ops",), drop=("__src", "__ops")).select("row.*", "__g", *named)
 
 
@@ -144,5 +154,3 @@ def outputs(layer: Layer, column: str, prefix: str = "split") -> dict[str, Layer
     names = unique_names(valid_name(f"{prefix}_{v}", prefix) for v in values)
     return {n: like(layer, df.where(F.col(column).eqNullSafe(F.lit(v))).drop(column)) for n, v in zip(names, values)}
 
-
-_ = MULTI

@@ -17,10 +17,9 @@ from ..functions.kernels import geodesic as geo
 from ..functions.kernels import shapes as sh
 from ..model import LINE, MULTIPOLYGON, POINT, POLYGON, SINGLE, FeatureFrame, FeatureMeta, Layer, df_of
 from ..names import unique_name
-from ..settings import Settings, current
+from ..settings import Settings
 from ..units import area_factor, length_factor
 from .common import fields, in_extent, kernel, option, resolve, spread, with_orig_fid
-from .generalization import united
 from .projections import is_geographic, normal
 
 
@@ -332,6 +331,3 @@ def polygon_to_line(source: FeatureFrame, settings: Settings | None = None) -> F
         raise GeometryTypeError("polygons are needed")
     source = in_extent(source, settings)
     return _exploded(source, g.ring_lines(source.geom), LINE)
-
-
-_ = (current, united)

@@ -134,13 +134,19 @@ def calculate_end_time(source: Layer, start_field: str, end_field: str, sort_fie
     if partition_fields:
         at = Window.partitionBy(*named(df, partition_fields)).orderBy(*[F.asc_nulls_first(c) for c in order])
         return like(source, df.withColumn(end, F.lead(start).over(at).cast(kind)))
-    ranged = df.repartitionByRange(*[F.asc_nulls_first(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    at = Window.partitionBy("__part").orderBy(*[F.asc_nulls_first(c) for c in order])
-    ranged = ranged.withColumn("__row", F.row_number().over(at)).withColumn("__next", F.lead(F.struct(F.col(start).alias("v"))).over(at))
-    firsts = {r["__part"]: r["v"] for r in ranged.where("__row = 1").select("__part", F.col(start).alias("v")).collect()}  # one row a range
-    parts = sorted(firsts)
-    rows = [(p, firsts[q]) for p, q in zip(parts, parts[1:])]
+    # ranges are fixed first: every use of them below compares with the same bounds
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tops = df.select(key.alias("key")).repartitionByRange(parts, "key").groupBy(F.spark_partition_id()).agg(F.max("key").alias("key"))
+    kinds = [df.schema[c].dataType for c in order]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(r.key, kinds))]) for r in tops.orderBy("key").collect()]  # one row a range
+    at = F.size(F.filter(F.array(*bounds[:-1]), lambda x: x < F.col("__key"))) if len(bounds) > 1 else F.lit(0)
+    ranged = df.withColumn("__key", key).withColumn("__part", at.cast("int"))
+    firsts = ranged.groupBy("__part").agg(F.min(F.struct("__key", F.col(start).alias("v")))["v"].alias("v")).orderBy("__part").collect()
+    rows = [(r["__part"], after.v) for r, after in zip(firsts, firsts[1:])]
     seam = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("__p", T.IntegerType()), T.StructField("__v", df.schema[start].dataType)]))
-    out = ranged.join(F.broadcast(seam), ranged["__part"] == seam["__p"], "left")
+    within = Window.partitionBy("__part").orderBy("__key")
+    out = ranged.withColumn("__next", F.lead(F.struct(F.col(start).alias("v"))).over(within))
+    out = out.join(F.broadcast(seam), out["__part"] == seam["__p"], "left")
     out = out.withColumn(end, F.when(F.col("__next").isNotNull(), F.col("__next.v")).otherwise(F.col("__v")).cast(kind))
     return like(source, out.select(*df.columns))

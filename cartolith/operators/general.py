@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,10 +83,34 @@ def _clusters(df: DataFrame, pk: str, keys: list[Column], layer: FeatureFrame, t
         return F.coalesce(out, F.lit(False))
 
     equal = F.forall(F.zip_with(g.vertices(F.col("ga")), g.vertices(F.col("gb")), within), lambda x: x)
-    # the first id that a row equals is its group's: an id that is itself a repeat heads no group
-    found = pairs.where(equal).select("a", "b")
-    heads = found.join(found.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-    return heads.groupBy("b").agg(F.min("a").alias("ORIG_FID")).select("ORIG_FID", F.col("b").alias("REPEAT_FID"))
+    return _greedy(pairs.where(equal).select("a", "b").distinct())
+
+
+def _greedy(pairs: DataFrame) -> DataFrame:
+    """By ascending id, a row that no earlier head has taken heads a group and takes all rows that it equals.
+
+    In rounds: an id that no undecided one precedes is a head, and what it equals is taken; each round is written down
+    (or held, without a folder for checkpoints) as the next one reads it several times.
+    """
+    keep = (lambda d: d.checkpoint()) if df_has_folder(pairs) else (lambda d: d.persist())
+    left, found = keep(pairs), None
+    while not left.isEmpty():
+        heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        taken = keep(left.join(heads, "a").groupBy("b").agg(F.min("a").alias("a")))
+        found = taken if found is None else found.union(taken)
+        gone = heads.union(taken.select("b"))
+        left = keep(left.join(gone.select("a"), "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
+    found = pairs.select("b", "a") if found is None else found
+    return found.select(F.col("a").alias("ORIG_FID"), F.col("b").alias("REPEAT_FID"))
+
+
+def df_has_folder(df: DataFrame) -> bool:
+    """Whether the cluster names a folder for checkpoints."""
+    sc = df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder and not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return bool(sc.getCheckpointDir())
 
 
 def delete_identical(source: Layer, fields_: str | Iterable[str] = (), include_geometry: bool = False, xy_tolerance: float | None = None, z_tolerance: float | None = None, m_tolerance: float | None = None, settings: Settings | None = None) -> Layer:
@@ -96,5 +119,3 @@ def delete_identical(source: Layer, fields_: str | Iterable[str] = (), include_g
     df, pk = df_of(source), pk_of(source)
     return like(source, df.join(gone.select(F.col("REPEAT_FID").alias("__gone")), df[pk].cast("long") == F.col("__gone"), "left_anti"))
 
-
-_ = np

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import stats
 from ..functions.kernels import arrangement as ar
-from ..functions.kernels import shapes as sh
 from ..model import MULTI, FeatureFrame, Layer, df_of, pk_of
 from ..settings import Settings, tolerance
 from .common import coerce, fields, in_extent, kernel, spread
@@ -63,15 +62,15 @@ def united(df: DataFrame, keys: list[str], geom: str, id_: Column, dimension: in
     return kernel(one, geom, unite, ["__gs"], lists=("__gs",), drop=("__gs",))
 
 
-def gathered(pairs: DataFrame, keys: list[str], geom: str, order: str, few: bool, xy_tolerance: float | None) -> DataFrame:
-    """``keys`` and ``__ops``, the operator polygons that each of them meets.
+def gathered(pairs: DataFrame, keys: list[str], geom: str, order: str, few: bool, xy_tolerance: float | None, dimension: int = 2) -> DataFrame:
+    """``keys`` and ``__ops``, the operators (of one dimension) that each of them meets.
 
     With few operators in all they are listed as they are. Otherwise any feature may meet a great many, and what it meets
     is united in levels first, so that no task takes more than ``FAN_IN`` of them.
     """
     if few:
         return spread(pairs, *keys).groupBy(*keys).agg(F.collect_list(geom).alias("__ops"))
-    return united(pairs, keys, geom, F.col(order), 2, xy_tolerance).select(*keys, F.array(geom).alias("__ops"))
+    return united(pairs, keys, geom, F.col(order), dimension, xy_tolerance).select(*keys, F.array(geom).alias("__ops"))
 
 
 def _cell(df: DataFrame) -> float:
@@ -98,8 +97,8 @@ def _unite(dimension: int, xy_tolerance: float | None):
             if not segments:
                 return []
             e = np.vstack(segments)
-            pieces = ar.node(e, ar._grid(e, xy_tolerance))
-            return [[np.array([p[:2], p[2:]])] for p in pieces]
+            grid = ar._grid(e, xy_tolerance)
+            return ar.merged(ar.node(e, grid), grid)
 
         return lines
     return lambda given: ar.union(given, xy_tolerance)
@@ -121,5 +120,3 @@ def dissolve(source: FeatureFrame, group_fields: str | Iterable[str], statistics
     shape = multi if as_multi_part else {v: k for k, v in MULTI.items()}[multi]
     return source.with_df(coerce(shapes, geom, shape), shape_type=shape, rectangles=False)
 
-
-_ = sh

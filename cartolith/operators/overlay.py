@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import GeometryTypeError
 from ..functions import geometry as g
 from ..functions.kernels import arrangement as ar
-from ..model import DIMENSION, MULTI, MULTILINE, MULTIPOINT, FeatureFrame
+from ..model import MULTI, MULTILINE, MULTIPOINT, FeatureFrame
 from ..plans import spatial_join
 from ..settings import Settings, tolerance
 from .common import Algorithm, AttributeOption, OutputType, attribute_names, check_dimensions, coerce, in_extent, kernel, option, polygons_only, same_crs
@@ -18,16 +18,20 @@ from .generalization import gathered
 
 def _erased(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float | None) -> DataFrame:
     """``row`` and ``__g`` of all source features less the operators that they meet."""
-    dim = source.meta.dimension
+    dim, over = source.meta.dimension, operator.meta.dimension
     left, right = _sides(source, operator)
     met = spatial_join.join(left.select("id", "box"), right).select(F.col("l.id").alias("__id"), "r.geom", F.col("r.id").alias("__op"))
-    met = gathered(met, ["__id"], "geom", "__op", spatial_join.is_few(right), xy_tolerance)
+    met = gathered(met, ["__id"], "geom", "__op", spatial_join.is_few(right), xy_tolerance, over)
     all_ = left.join(met, left["id"].eqNullSafe(met["__id"]), "left")
     apart = all_.where("__ops is null").select("row", F.col("geom").alias("__g"))
     flat = all_.where("__ops is not null").select("row", F.col("geom").alias("__src"), "__ops")
-    if dim == 0:
+    if dim == 0 and over < 2:
+        cut = kernel(flat, "__g", lambda s, ops: ar.points_at(s, ar.joined(ops), keep=False), ["__src", "__ops"], lists=("__ops",), drop=("__src", "__ops"))
+    elif dim == 0:
         gone = lambda p: F.exists("__ops", lambda o: g.covers(o, F.get(F.get(p, F.lit(0)), F.lit(0))["x"], F.get(F.get(p, F.lit(0)), F.lit(0))["y"]))
         cut = flat.select("row", F.filter("__src", lambda p: ~gone(p)).alias("__g"))
+    elif dim == 1 and over == 1:
+        cut = kernel(flat, "__g", lambda s, ops: ar.clip_line(s, ar.joined(ops), keep_inside=False, lines=True), ["__src", "__ops"], lists=("__ops",), drop=("__src", "__ops"))
     elif dim == 1:
         cut = kernel(flat, "__g", lambda s, ops: ar.clip_line(s, ar.union(ops, xy_tolerance), keep_inside=False), ["__src", "__ops"], lists=("__ops",), drop=("__src", "__ops"))
     else:
@@ -92,41 +96,28 @@ def _pairs(source: FeatureFrame, operator: FeatureFrame, how: AttributeOption, o
 
         def meet(s, o):
             x, y = ar.boundary(s) if edge_a else s, ar.boundary(o) if edge_b else o
-            return _shared(x, y) if lines else ar.line_crossings(x, y)
+            return ar.clip_line(x, y, lines=True) if lines else ar.line_crossings(x, y)
 
         df = kernel(pairs.select("l.row", F.col("r.row").alias("row2"), F.col("l.geom").alias("__s"), F.col("r.geom").alias("__o")), "__g", meet, ["__s", "__o"], drop=("__s", "__o"))
         return df.select(F.col("__g").alias(geom), "row.*", "row2.*"), shape
+    both = [F.col("l.geom").alias("__s"), F.col("r.geom").alias("__o")]
+    if a == 0 and b == 2 and source.meta.multi:
+        at = lambda p: F.get(F.get(p, F.lit(0)), F.lit(0))
+        return pairs.select(F.filter("l.geom", lambda p: g.covers(F.col("r.geom"), at(p)["x"], at(p)["y"])).alias(geom), *named), shape
+    if a == 0 and b == 2:
+        v = g.first_vertex(F.col("l.geom"))
+        return pairs.where(g.covers(F.col("r.geom"), v["x"], v["y"])).select(F.col("l.geom").alias(geom), *named), shape
     if a == 0:
-        if source.meta.multi:
-            kept = F.filter("l.geom", lambda p: g.covers(F.col("r.geom"), F.get(F.get(p, F.lit(0)), F.lit(0))["x"], F.get(F.get(p, F.lit(0)), F.lit(0))["y"])) if b == 2 else F.col("l.geom")
-            return pairs.select(kept.alias(geom), *named), shape
-        v, w = g.first_vertex(F.col("l.geom")), g.first_vertex(F.col("r.geom"))
-        touch = g.covers(F.col("r.geom"), v["x"], v["y"]) if b == 2 else (v["x"] == w["x"]) & (v["y"] == w["y"])
-        if b == 1:
-            df = kernel(pairs.select("l.row", F.col("r.row").alias("row2"), F.col("l.geom").alias("__s"), F.col("r.geom").alias("__o")), "__g", lambda s, o: s if ar.on_boundary(s[0][0][0, :2], ar._segments(o)) else None, ["__s", "__o"], drop=("__s", "__o"))
-            return df.select(F.col("__g").alias(geom), "row.*", "row2.*"), shape
-        return pairs.where(touch).select(F.col("l.geom").alias(geom), *named), shape
+        df = kernel(pairs.select("l.row", F.col("r.row").alias("row2"), *both), "__g", ar.points_at, ["__s", "__o"], drop=("__s", "__o")).where("__g is not null")
+        return df.select(F.col("__g").alias(geom), "row.*", "row2.*"), shape
     if source.meta.rectangles and operator.meta.rectangles and not xy_tolerance:
         piece = g.rectangle_intersection(F.col("l.box"), F.col("r.box"))
         return pairs.select(piece.alias(geom), *named), shape
-    cut = (lambda s, o: ar.intersection(s, o, xy_tolerance)) if a == 2 else (lambda s, o: ar.clip_line(s, o)) if b == 2 else (lambda s, o: _shared(s, o))
+    cut = (lambda s, o: ar.intersection(s, o, xy_tolerance)) if a == 2 else (lambda s, o: ar.clip_line(s, o)) if b == 2 else (lambda s, o: ar.clip_line(s, o, lines=True))
     df = kernel(pairs.select("l.row", F.col("r.row").alias("row2"), F.col("l.geom").alias("__s"), F.col("r.geom").alias("__o")), "__g", cut, ["__s", "__o"], drop=("__s", "__o"))
     return df.select(F.col("__g").alias(geom), "row.*", "row2.*"), shape
 
 
-def _shared(a, b):
-    """Stretches that two sets of lines have in common."""
-    import numpy as np
-
-    p, q = ar._segments(a), ar._segments(b)
-    if not len(p) or not len(q):
-        return []
-    grid = ar._grid(np.vstack([p, q]), None)
-    pieces = ar.node(np.vstack([p, q]), grid)
-    mids = (pieces[:, :2] + pieces[:, 2:]) / 2
-    return [[np.array([e[:2], e[2:]])] for e, m in zip(pieces, mids) if ar.on_boundary(m, p, 1e-10) and ar.on_boundary(m, q, 1e-10)]
-
-
 def intersect(source: FeatureFrame, operator: FeatureFrame, attribute_option="all", output_type_option="same", algorithm_option="pairwise", xy_tolerance: float | None = None, settings: Settings | None = None) -> FeatureFrame:
     """One row for each pair that shares something of the source's dimension, with the attributes of both."""
     check_dimensions(source, operator)
@@ -161,5 +152,3 @@ def union(source: FeatureFrame, operator: FeatureFrame, attribute_option="all",
     b = intersect(source, operator, attribute_option, "same", algorithm_option, xy_tolerance, settings)
     return a.with_df(a.df.unionByName(b.df))
 
-
-_ = DIMENSION

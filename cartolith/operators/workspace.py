@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..errors import ContainerError, OperationsError
 from ..functions.geometry import GEOMETRY
 from ..model import POLYGON, FeatureFrame, FeatureMeta, Layer, df_of
-from ..names import unique_name, valid_name
+from ..names import valid_name
 from ..settings import Settings, current
 from ..sources import geopackage
 
@@ -125,6 +125,3 @@ def feature_class_to_geopackage(source: Iterable[FeatureFrame], path: str, overw
             layer = project(layer, s.output_coordinate_system)
         names.append(geopackage.write(layer, path, None, overwrite))
     return names
-
-
-_ = unique_name

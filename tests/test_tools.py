@@ -238,3 +238,53 @@ def test_many_operators_are_united_in_levels(spark, monkeypatch):
     plain = FeatureFrame(big.df, FeatureMeta(POLYGON, rectangles=True)), FeatureFrame(ops.df, FeatureMeta(POLYGON, rectangles=True))
     assert area(extract.clip(*plain)) == 15.5 * 5
     assert area(extract.split(big, ops, "tag")) == 15.5 * 5
+
+
+def test_end_times_over_many_ranges(spark):
+    """What one window over everything gives, twice: bounds mustn't move between uses."""
+    df = spark.range(300_000).selectExpr("id as fid", "cast(hash(id) % 1000 as int) as k", "cast(id * 7 as bigint) as start", "cast(null as bigint) as end")
+    df = df.withColumn("k", F.when(F.col("k") % 50 == 0, None).otherwise(F.col("k")))
+    expected = df.toPandas().sort_values(["k", "fid"], na_position="first")
+    expected["end"] = expected["start"].shift(-1)
+    for _ in range(2):
+        found = fields.calculate_end_time(df, "start", "end", ["k"]).select("fid", "end").toPandas().set_index("fid")["end"]
+        assert found.isna().sum() == 1 and (found.reindex(expected["fid"]).fillna(-1).to_numpy() == expected["end"].fillna(-1).to_numpy()).all()
+
+
+def test_identity_within_a_tolerance_is_greedy_by_id(spark):
+    import random
+
+    rng = random.Random(3)
+    for tol, n in ((1.0, 12), (0.8, 80)):
+        at = [(i + 1, float(i) if n == 12 else rng.uniform(0, 12), 0.0 if n == 12 else rng.uniform(0, 2)) for i in range(n)]
+        points = features.xy_table_to_point(spark.createDataFrame(at, "fid long, x double, y double"), None, "x", "y")
+        found = sorted(map(tuple, general.find_identical(points, (), include_geometry=True, xy_tolerance=tol).collect()))
+        taken, expected = set(), []
+        for i, x, y in at:
+            if i in taken:
+                continue
+            for j, u, v in at:
+                if j > i and j not in taken and abs(x - u) <= tol and abs(y - v) <= tol:
+                    taken.add(j)
+                    expected.append((i, j))
+        assert found == sorted(expected) and expected
+
+
+def test_lines_over_lines(spark):
+    lines = lambda *rows: FeatureFrame(spark.createDataFrame([(i, [[[(float(x), float(y), None, None) for x, y in r]] for r in parts]) for i, parts in rows], f"fid long, geom {g.GEOMETRY}"), FeatureMeta("MultiLineString", name="l"))
+    source = lines((1, [[(0, 0), (10, 0), (10, 10)]]), (2, [[(0, 5), (10, 5)]]))
+    operator = lines((1, [[(-5, 0), (4, 0)]]), (2, [[(2, 0), (6, 0)]]), (3, [[(10, 2), (10, 20)]]), (4, [[(5, -5), (5, 9)]]))
+    length = lambda layer: {r.fid: r.n for r in layer.df.select("fid", g.length(F.col("geom")).alias("n")).collect()}
+    assert length(extract.clip(source, operator)) == {1: 6 + 8}
+    assert length(overlay.erase(source, operator)) == {1: 4 + 2, 2: 10}
+    parts = extract.clip(source, operator).df.select(F.size("geom").alias("n")).first().n
+    assert parts == 2
+
+
+def test_pieces_are_merged_to_lines():
+    from cartolith.functions.kernels import arrangement as ar
+
+    star = np.array([(0, 0, 1, 0), (1, 0, 2, 0), (2, 0, 2, 1), (2, 0, 3, 0), (5, 5, 6, 5), (6, 5, 6, 6), (5, 5, 6, 6)], float)
+    found = ar.merged(star, 1e-9)
+    assert sorted(len(p[0]) for p in found) == [2, 2, 3, 4]
+    assert any((p[0][0] == p[0][-1]).all() for p in found)

@@ -43,7 +43,7 @@ SAMPLE_CHARS = 6_000_000
 #: Standard deviations of a class's share that are discounted from its counts.
 NOISE = 4.0
 #: Code points of text for each part of the shared counts, and word pairs that a task holds at once.
-PART_CHARS, HELD_PAIRS = 24_000_000, 1 << 22
+PART_CHARS, HELD_PAIRS = 24_000_000, 1 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = np.zeros(256, np.uint8)  # lower-cased, or 0

@@ -28,6 +28,7 @@ alike; an empty table gives no rows; other columns may have any names.
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -196,7 +197,7 @@ def estimate(v: np.ndarray, w: np.ndarray, n: np.ndarray, shared: dict | tuple[n
     ``shared``: sorted words and their shared probabilities.
     """
     seen = n.sum(axis=0) > 0
-    v, w, n = v[seen], w[seen], n[:, seen].astype(np.float32)  # the arrays by pair are the driver's largest
+    v, w, n = v[seen], w[seen], n[:, seen].astype(np.float32)  # the arrays by pair are the largest
     words, iw = np.unique(w, return_inverse=True)
     p_shared = shared[1][np.searchsorted(shared[0], words)]
     m = np.stack([np.bincount(iw, c > 0, len(words)) for c in n])
@@ -315,8 +316,8 @@ def _sample(texts: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame,
     return table(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= cut).select("text", "toxic", "half"), "labelled"), rates
 
 
-def _class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """v, w and, for halves 0 and 1 and both and either class, the distinct words before that pair: (3, 2, pairs)."""
+def _class_counts(sample: DataFrame) -> DataFrame:
+    """v, w and, for halves 0 and 1 and both (2) and either class, the distinct words before that pair: n00 to n21."""
 
     def task(batches):
         for batch in sliced(batches):
@@ -330,9 +331,23 @@ def _class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     rows = rows.groupBy("v", "w", "u").agg(F.bit_or("kind").alias("kind"))
     of = {f"n{h}{c}": mask for h, by in enumerate(((1, 2), (4, 8), (5, 10))) for c, mask in enumerate(by)}
     counts = rows.groupBy("v", "w").agg(*[F.sum(F.when(F.col("kind").bitwiseAND(F.lit(m)) != 0, 1).otherwise(0)).cast("int").alias(k) for k, m in of.items()])
-    found = counts.toArrow()  # bounded by the sample
-    n = np.stack([found.column(k).to_numpy() for k in of]).reshape(3, 2, -1)
-    return found.column("v").to_numpy().view(np.uint64), found.column("w").to_numpy().view(np.uint64), n
+    return table(counts, "class-counts")
+
+
+def _models(counts: DataFrame, shared: tuple[np.ndarray, np.ndarray]) -> list[Model | None]:
+    """The models of either half and of both, estimated by one task: what it takes is bounded by the sample."""
+
+    def task(batches):
+        given = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        v, w, *n = [np.concatenate(c) for c in zip(*given)]
+        del given
+        for k in range(3):
+            own = np.stack(n[2 * k : 2 * k + 2])
+            model = Model.of(estimate(v.view(np.uint64), w.view(np.uint64), own, shared)) if own.sum(axis=1).all() else None
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], ["k", "model"])
+
+    rows = counts.repartition(1).mapInArrow(task, "k int, model binary").collect()
+    return [pickle.loads(r.model) for r in sorted(rows, key=lambda r: r.k)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
@@ -342,20 +357,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_chars: int = SAMPLE_CHARS) ->
     if sampled is None:
         return Model.empty()
     sample, rates = sampled
-    v, w, n = _class_counts(sample)
-    if not len(w):
+    counts = _class_counts(sample)
+    words = np.sort(counts.select("w").distinct().toArrow().column("w").to_numpy().view(np.uint64))  # bounded by the sample
+    if not len(words):
         return Model.empty()
     chars = texts.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
     cells = table(shared_counts(texts, chars), "shared-counts")
     every = cells.groupBy("w").agg(_contexts(F.sum("n")).alias("n"))
     totals = every.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
-    words = np.unique(w)
     names = docs.sparkSession.createDataFrame(pa.table({"w": pa.array((words >> np.uint64(CONTEXT_BITS)).astype(np.int64))}))
     own = every.join(F.broadcast(names.distinct()), "w").toArrow()  # bounded by the sample
     at = np.argsort(own.column("w").to_numpy())
     count = _look_up(own.column("w").to_numpy()[at].view(np.uint64), own.column("n").to_numpy()[at], words >> np.uint64(CONTEXT_BITS), 0.0)
     shared = words, (count + 0.5) / (totals.n + 0.5 * (totals.words + 1))
-    halves = [Model.of(estimate(v, w, c, shared)) if c.sum(axis=1).all() else None for c in n]
+    halves = _models(counts, shared)
     model = halves[2]
     if model is None:
         return Model.empty()

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, sliced, small_batches, table, utf8
+from .common import id_and_text, scratch, sliced, small_batches, table, utf8
+from .token_files import open_folder
 
 #: Code points of labelled texts, a class, that are learnt from at most. The model has less than 4 bytes for each.
 SAMPLE_CHARS = 6_000_000
@@ -275,6 +277,25 @@ class Model:
         return np.clip(0.99 * self.calibration[bin_of(evidence)] + 0.01 * fine, 0, 1)
 
 
+    def load(self) -> Model:
+        return self
+
+
+@dataclass
+class Stored:
+    """A model in the shared folder, for tasks to read: only its path and calibration pass through the driver."""
+
+    path: str
+    calibration: np.ndarray | None = None
+
+    def load(self) -> Model:
+        system, path = open_folder(self.path)
+        with system.open_input_file(path) as source:
+            model = pickle.loads(source.read())
+        model.calibration = self.calibration
+        return model
+
+
 BINS = 800
 
 
@@ -334,23 +355,40 @@ def _class_counts(sample: DataFrame) -> DataFrame:
     return table(counts, "class-counts")
 
 
-def _models(counts: DataFrame, shared: tuple[np.ndarray, np.ndarray]) -> list[Model | None]:
-    """The models of either half and of both, estimated by one task: what it takes is bounded by the sample."""
+def _with_shared(counts: DataFrame, cells: DataFrame) -> DataFrame:
+    """``counts`` and p, the shared probability of w. Neither the words nor their counts leave the executors."""
+    every = cells.groupBy("w").agg(_contexts(F.sum("n")).alias("contexts"))
+    totals = every.agg(F.sum("contexts").alias("n"), F.count("*").alias("words")).first()
+    p = (F.coalesce("contexts", F.lit(0.0)) + 0.5) / F.lit((totals.n or 0.0) + 0.5 * (totals.words + 1))
+    cell = F.shiftrightunsigned("w", CONTEXT_BITS)
+    return counts.withColumn("cell", cell).join(every.withColumnRenamed("w", "cell"), "cell", "left").select(*counts.columns, p.alias("p"))
+
+
+def _models(counts: DataFrame, folder: str) -> list[Stored | None]:
+    """The models of either half and of both, estimated and stored by one task: what it takes is bounded by the sample."""
 
     def task(batches):
         given = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
-        v, w, *n = [np.concatenate(c) for c in zip(*given)]
+        v, w, *n, p = [np.concatenate(c) for c in zip(*given)]
         del given
+        words, first = np.unique(w.view(np.uint64), return_index=True)
+        shared = words, p[first]
+        system, path = open_folder(folder)
+        system.create_dir(path, recursive=True)
         for k in range(3):
             own = np.stack(n[2 * k : 2 * k + 2])
-            model = Model.of(estimate(v.view(np.uint64), w.view(np.uint64), own, shared)) if own.sum(axis=1).all() else None
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], ["k", "model"])
+            name = None
+            if own.sum(axis=1).all():
+                name = f"{k}-{uuid.uuid4().hex}"  # of this attempt
+                with system.open_output_stream(f"{path}/{name}") as out:
+                    out.write(pickle.dumps(Model.of(estimate(v.view(np.uint64), w.view(np.uint64), own, shared))))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name], pa.string())], ["k", "name"])
 
-    rows = counts.repartition(1).mapInArrow(task, "k int, model binary").collect()
-    return [pickle.loads(r.model) for r in sorted(rows, key=lambda r: r.k)]
+    rows = counts.repartition(1).mapInArrow(task, "k int, name string").collect()
+    return [Stored(f"{folder}/{r.name}") if r.name else None for r in sorted(rows, key=lambda r: r.k)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model | Stored:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     sampled = _sample(texts, labels, sample_chars)
@@ -358,19 +396,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_chars: int = SAMPLE_CHARS) ->
         return Model.empty()
     sample, rates = sampled
     counts = _class_counts(sample)
-    words = np.sort(counts.select("w").distinct().toArrow().column("w").to_numpy().view(np.uint64))  # bounded by the sample
-    if not len(words):
+    if counts.isEmpty():
         return Model.empty()
     chars = texts.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
     cells = table(shared_counts(texts, chars), "shared-counts")
-    every = cells.groupBy("w").agg(_contexts(F.sum("n")).alias("n"))
-    totals = every.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
-    names = docs.sparkSession.createDataFrame(pa.table({"w": pa.array((words >> np.uint64(CONTEXT_BITS)).astype(np.int64))}))
-    own = every.join(F.broadcast(names.distinct()), "w").toArrow()  # bounded by the sample
-    at = np.argsort(own.column("w").to_numpy())
-    count = _look_up(own.column("w").to_numpy()[at].view(np.uint64), own.column("n").to_numpy()[at], words >> np.uint64(CONTEXT_BITS), 0.0)
-    shared = words, (count + 0.5) / (totals.n + 0.5 * (totals.words + 1))
-    halves = _models(counts, shared)
+    halves = _models(_with_shared(counts, cells), scratch(docs.sparkSession, "models"))
     model = halves[2]
     if model is None:
         return Model.empty()
@@ -378,10 +408,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_chars: int = SAMPLE_CHARS) ->
     return model
 
 
-def _calibrate(sample: DataFrame, rates: list[float], halves: list[Model]) -> np.ndarray:
+def _calibrate(sample: DataFrame, rates: list[float], halves: list[Stored]) -> np.ndarray:
     """Each half's documents by the other half's model: counts of bins and labels, then isotonic regression."""
 
     def task(batches):
+        models = [m.load() for m in halves]
         for batch in sliced(batches):
             toxic, half = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             texts = utf8(batch.column(0))
@@ -389,7 +420,7 @@ def _calibrate(sample: DataFrame, rates: list[float], halves: list[Model]) -> np
             for k in (0, 1):
                 own = np.flatnonzero(half == k)
                 if len(own):
-                    found[own] = halves[1 - k].evidence([texts[i] for i in own.tolist()])
+                    found[own] = models[1 - k].evidence([texts[i] for i in own.tolist()])
             keys, times = np.unique(bin_of(found) * 2 + toxic, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"])
 
@@ -400,24 +431,26 @@ def _calibrate(sample: DataFrame, rates: list[float], halves: list[Model]) -> np
     return isotonic(counts[1::2], counts[0::2] + counts[1::2])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model | Stored) -> DataFrame:
     """doc_id, score of each row of ``docs`` (doc_id, text)."""
 
     def task(batches):
+        own = model.load()
         for batch in sliced(batches):
-            found = model.score(model.evidence(utf8(batch.column(1))))
+            found = own.score(own.evidence(utf8(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(task, "doc_id long, score double")
 
 
-def keep(docs: DataFrame, model: Model, cutoff: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, model: Model | Stored, cutoff: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below ``cutoff``, with all their columns."""
 
     def task(batches):
+        own = model.load()
         for batch in sliced(batches, text_col):
             texts = utf8(batch.column(batch.schema.get_field_index(text_col)))
-            yield batch.filter(pa.array(model.score(model.evidence(texts)) < cutoff))
+            yield batch.filter(pa.array(own.score(own.evidence(texts)) < cutoff))
 
     return small_batches(docs).mapInArrow(task, T.StructType(docs.schema.fields))
 

@@ -1,6 +1,7 @@
 """Line deduplication, near copies, toxicity, personal data, quality and fingerprints against brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter, defaultdict
@@ -284,6 +285,20 @@ def test_toxic_phrases_of_harmless_words(spark):
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) > 0.97 * len(held)
 
 
+def test_the_model_does_not_pass_through_the_driver(spark):
+    """What the driver gives to the scoring tasks stays small, however many words and pairs the model has."""
+    rng = random.Random(16)
+    docs = spark.createDataFrame([(d, words(rng, 100) + (" vile" * 3 if d % 4 == 0 else "")) for d in range(400)], "doc_id long, text string")
+    lab = spark.createDataFrame([(d, int(d % 4 == 0)) for d in range(400)], "doc_id long, toxic int")
+    fitted = toxicity.fit(docs, lab)
+    model = fitted.load()
+    assert len(model.pairs) > 10_000 and len(pickle.dumps(fitted)) < 10_000 < len(pickle.dumps(model))
+    texts = sorted((r.doc_id, r.text) for r in docs.collect())
+    expected = model.score(model.evidence([t.encode() for _, t in texts]))
+    found = {r.doc_id: r.score for r in toxicity.score(docs, fitted).collect()}
+    assert [found[d] for d, _ in texts] == pytest.approx(expected.tolist())
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     df = spark.createDataFrame([(d, f"word{d % 7} text here") for d in range(300)], "doc_id long, text string")
     lab = spark.createDataFrame([(d, int(d % 7 == 0)) for d in range(300)], "doc_id long, toxic int")

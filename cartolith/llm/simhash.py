@@ -68,15 +68,20 @@ def fingerprints_of(texts: list[bytes], words: int = 3) -> np.ndarray:
         else:
             begins = (ends - sizes)[: len(parts) - words + 1].tolist()
             hashes = [hash64(joined[a:b], 42) for a, b in zip(begins, ends[words - 1 :].tolist())]
-        n = len(hashes)
-        raw = np.array(hashes, "<u8").view(np.uint8).reshape(n, 8)
-        counts = np.zeros(64, np.int64)
-        for at in range(0, n, 65_536):  # sums of one-byte bits in bounded pieces
-            counts += np.unpackbits(raw[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]
+        out[k] = _majority(np.array(hashes, "<u8"))
     return out
 
 
+def _majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    n = len(hashes)
+    raw = hashes.view(np.uint8).reshape(n, 8)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, n, 65_536):  # sums of one-byte bits in bounded pieces
+        counts += np.unpackbits(raw[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long), one row per row of ``docs``."""
 
@@ -267,7 +272,7 @@ def digests(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- near copies at a looser similarity: MinHash candidates, exact Jaccard
+# --- near copies at a looser similarity: pigeonring links, MinHash candidates for what 3 bits don't reach, exact Jaccard
 
 #: Rows of a band and bands: a pair at 0.8 shares no band with a probability of (1 - 0.8^5)^28, or 0.000015. SimHash segments
 #: of a fixed width would have to be some hundreds for that, as the angle at 0.8 differs in 15 % of the bits.
@@ -315,9 +320,11 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: groups of texts linked at a Jaccard similarity of their sets of word shingles.
 
-    Candidates are pairs that share a MinHash band, whatever the number of rows, and each is judged by its exact
-    similarity. Groups of a key are treated as above: two are a pair, of more each member meets the anchor, and the
-    rest is compared in blocks. Texts of one set are folded first. Sets are made again for candidates only.
+    Texts of one set are folded first. SimHash fingerprints of the sets are linked by pigeonring filtering (``links``),
+    each link is judged by its exact similarity, and what holds makes the first components. A similarity that is lower than
+    3 bits reach is found by MinHash bands, whatever the number of rows: pairs that share a band and aren't in one
+    component yet are judged in the same way. Groups of a band's key are treated as above: two are a pair, of more each
+    member meets the anchor, and those apart from it are compared in blocks. Sets are made again for candidates only.
     """
     import hashlib
 
@@ -327,11 +334,15 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         for batch in sliced(batches):
             sets = [shingles_of(t, words) for t in utf8(batch.column(1))]
             f = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "f", "keys"])
+            fp = np.array([_majority(x) for x in sets], np.uint64).view(np.int64)
+            keys = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array(fp), keys], ["doc_id", "f", "fp", "keys"])
 
-    prints = table(small_batches(texts).mapInArrow(task, "doc_id long, f binary, keys array<long>"), "near-prints")
+    prints = table(small_batches(texts).mapInArrow(task, "doc_id long, f binary, fp long, keys array<long>"), "near-prints")
     parts = _partitions(docs.sparkSession)
-    nodes = table(prints.groupBy("f").agg(F.min("doc_id").alias("node"), F.count("*").alias("w"), F.any_value("keys").alias("keys")).where("node is not null"), "near-nodes")
+    folded = prints.groupBy("f").agg(F.min("doc_id").alias("node"), F.count("*").alias("w"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
+    nodes = table(folded.where("node is not null"), "near-nodes")
+    ring = table(_ring(nodes), "near-ring")
     keyed = nodes.repartition(parts, "node").select("node", "w", F.lit(0).alias("i"), F.explode("keys").alias("k"))
     groups = table(keyed.groupBy("i", "k").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"), "near-keys")
     pairs = groups.where("n = 2 and lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -340,7 +351,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     anchors = members.groupBy("k").agg(F.max(F.struct("w", "node"))["node"].alias("anchor"))
     starred = members.join(anchors, "k").where("anchor <> node").select("k", F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b"), "node")
     candidates = table(pairs.union(starred.select("a", "b")).distinct(), "near-candidates")
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = ring.union(candidates).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batches):
         for batch in sliced(batches):
@@ -356,10 +367,18 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
             near = [alike(x, y, similarity) for x, y in zip(sa, sb)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in "ab"), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
-    of = candidates.join(with_s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(with_s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    judged = table(of.mapInArrow(judge, "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near")), "near-pairs")
+    def judged_of(pairs: DataFrame) -> DataFrame:
+        of = pairs.join(with_s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(with_s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        return table(of.mapInArrow(judge, "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near")), "near-pairs")
+
+    linked = judged_of(ring).where("near").select("a", "b")
+    known = table(components(linked), "near-known")
+    named = [known.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab"]
+    between = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    judged = judged_of(candidates.join(named[0], "a", "left").join(named[1], "b", "left").where(between).select("a", "b"))
+    # a member that is known to be in its anchor's component isn't judged, and not apart
     apart = starred.join(judged.where("not near"), ["a", "b"], "left_semi").select("k", "node").distinct()
-    found = judged.where("near").select("a", "b").union(_near_blocks(members, apart, with_s, similarity)).distinct()
+    found = linked.union(judged.where("near").select("a", "b")).union(_near_blocks(members, apart, with_s, similarity)).distinct()
     roots = components(found)
     named = nodes.join(roots, "node", "left").select("f", "w", F.coalesce("root", "node").alias("component_id"))
     of_f = table(named.select("f", "w", "component_id"), "near-components")
@@ -368,6 +387,18 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     return prints.join(F.broadcast(hot), "f").select("doc_id", "component_id").unionByName(rest.select("doc_id", "component_id"))
 
 
+def _ring(nodes: DataFrame) -> DataFrame:
+    """a, b with a < b: the ``nodes`` (node, fp) to compare for fingerprints within 3 bits, by pigeonring filtering.
+
+    The smallest node of a fingerprint stands for it in links to others, and meets all other nodes of the fingerprint.
+    """
+    of_fp = table(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("w")), "near-fingerprints")
+    ends = [of_fp.select(F.col("fp").alias(end), F.col("lead").alias(f"lead_{end}")) for end in "ab"]
+    between = links(of_fp.select("fp", "w")).join(ends[0], "a").join(ends[1], "b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b"))
+    within = nodes.join(of_fp.where("w > 1").select("fp", "lead"), "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return between.union(within).where("a <> b").distinct()
+
+
 def _near_blocks(members: DataFrame, apart: DataFrame, with_s: DataFrame, similarity: float) -> DataFrame:
     """Links of the members ``apart`` from their anchor with all of their groups, block against block."""
     size = 256

@@ -184,6 +184,46 @@ def test_near_copies_are_judged_exactly(spark):
     assert {d for d in drops if d not in kept} == {d for d in drops if drops[d]} and set(range(0, 800, 2)) <= kept
 
 
+def test_pigeonring_finds_near_copies_without_the_bands(spark, monkeypatch):
+    """Long texts with a changed word are within 3 bits: with no band in common they still meet, and are judged exactly."""
+    no_two_alike = lambda shingles: np.random.default_rng().integers(1 << 62, size=28)
+    monkeypatch.setattr(simhash, "band_keys", no_two_alike)
+    rng = random.Random(17)
+    docs = []
+    for k in range(20):
+        w = words(rng, 1500).split()
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:700] + ["changed"] + w[701:]))]
+    prints = [fp_by_hand(t, 5) for _, t in docs]
+    close = {2 * k + 1 for k in range(20) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= 3}
+    assert len(close) > 15
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {d for d, _ in docs} - {r.doc_id for r in simhash.stage(df).collect()} == close
+    assert {d for d, _ in docs} == {r.doc_id for r in simhash.stage(df, similarity=0.9999).collect()}
+
+
+def test_near_groups_are_those_of_all_pairs(spark):
+    """Chains of few and of many changes, and one beginning in common: components over pairs of 0.8, by brute force."""
+    rng = random.Random(18)
+    docs = []
+    for _ in range(12):
+        w = words(rng, 250).split()
+        for step in range(12):
+            docs.append(" ".join(w))
+            for at in rng.sample(range(len(w)), rng.choice([1, 1, 2, 6])):
+                w[at] = f"new{step}"
+    base = words(rng, 150)
+    for _ in range(12):
+        end = words(rng, 100).split()
+        docs += [f"{base} {' '.join(end)}", f"{base} {' '.join(end[:-1])} last", f"{base} {' '.join(end[:-20])} {words(rng, 20)}"]
+    rng.shuffle(docs)
+    near = [[jaccard(x, y) >= 0.8 for y in docs] for x in docs]
+    expected = list(range(len(docs)))
+    while (lower := [min(expected[j] for j in range(len(docs)) if near[i][j]) for i in range(len(docs))]) != expected:
+        expected = lower
+    found = simhash.near_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert dict(found) == dict(enumerate(expected)) and 20 < len(set(expected)) < 150
+
+
 # --- toxicity
 
 

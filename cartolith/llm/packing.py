@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, table, utf8
+from .common import give_back, id_and_text, table, utf8
 from .word_tokens import word_tokens
 
 GROUP_PIECES = 200_000
@@ -39,6 +39,7 @@ def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_
     def task(batches):
         from pyspark import TaskContext
 
+        give_back()
         tokens, end, width = word_tokens(path), struct.pack("<I", end_id), 4 * capacity
         row = TaskContext.get().partitionId() << 40
         for batch in batches:

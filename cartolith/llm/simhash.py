@@ -320,11 +320,10 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: groups of texts linked at a Jaccard similarity of their sets of word shingles.
 
-    Texts of one set are folded first. SimHash fingerprints of the sets are linked by pigeonring filtering (``links``),
-    each link is judged by its exact similarity, and what holds makes the first components. A similarity that is lower than
-    3 bits reach is found by MinHash bands, whatever the number of rows: pairs that share a band and aren't in one
-    component yet are judged in the same way. Groups of a band's key are treated as above: two are a pair, of more each
-    member meets the anchor, and those apart from it are compared in blocks. Sets are made again for candidates only.
+    Texts of one set are folded first. SimHash fingerprints of the sets are linked by pigeonring filtering (``links``).
+    A similarity that is lower than 3 bits reach is found by MinHash bands, whatever the number of rows. Pairs of either
+    kind are judged once, by their exact similarity. Groups of a band's key are treated as above: two are a pair, of more
+    each member meets the anchor, and those apart from it are compared in blocks. Sets are made again for candidates only.
     """
     import hashlib
 
@@ -342,7 +341,6 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     parts = _partitions(docs.sparkSession)
     folded = prints.groupBy("f").agg(F.min("doc_id").alias("node"), F.count("*").alias("w"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
     nodes = table(folded.where("node is not null"), "near-nodes")
-    ring = table(_ring(nodes), "near-ring")
     keyed = nodes.repartition(parts, "node").select("node", "w", F.lit(0).alias("i"), F.explode("keys").alias("k"))
     groups = table(keyed.groupBy("i", "k").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"), "near-keys")
     pairs = groups.where("n = 2 and lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -350,8 +348,8 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     members = table(_maybe_in(keyed, large).join(large, ["i", "k"]), "near-members")
     anchors = members.groupBy("k").agg(F.max(F.struct("w", "node"))["node"].alias("anchor"))
     starred = members.join(anchors, "k").where("anchor <> node").select("k", F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b"), "node")
-    candidates = table(pairs.union(starred.select("a", "b")).distinct(), "near-candidates")
-    wanted = ring.union(candidates).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    candidates = table(_ring(nodes).union(pairs).union(starred.select("a", "b")).distinct(), "near-candidates")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batches):
         for batch in sliced(batches):
@@ -367,18 +365,10 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
             near = [alike(x, y, similarity) for x, y in zip(sa, sb)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in "ab"), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
-    def judged_of(pairs: DataFrame) -> DataFrame:
-        of = pairs.join(with_s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(with_s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        return table(of.mapInArrow(judge, "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near")), "near-pairs")
-
-    linked = judged_of(ring).where("near").select("a", "b")
-    known = table(components(linked), "near-known")
-    named = [known.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab"]
-    between = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    judged = judged_of(candidates.join(named[0], "a", "left").join(named[1], "b", "left").where(between).select("a", "b"))
-    # a member that is known to be in its anchor's component isn't judged, and not apart
+    of = candidates.join(with_s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(with_s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    judged = table(of.mapInArrow(judge, "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near")), "near-pairs")
     apart = starred.join(judged.where("not near"), ["a", "b"], "left_semi").select("k", "node").distinct()
-    found = linked.union(judged.where("near").select("a", "b")).union(_near_blocks(members, apart, with_s, similarity)).distinct()
+    found = judged.where("near").select("a", "b").union(_near_blocks(members, apart, with_s, similarity)).distinct()
     roots = components(found)
     named = nodes.join(roots, "node", "left").select("f", "w", F.coalesce("root", "node").alias("component_id"))
     of_f = table(named.select("f", "w", "component_id"), "near-components")

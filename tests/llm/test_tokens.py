@@ -214,3 +214,18 @@ def test_sequences_hold_their_documents(spark, library):
         for d, at in zip(r.doc_ids, r.offsets):
             ids = [*library.encode(f"hello world {d} " * (d + 1), add_special_tokens=False).ids, 0]
             assert any(r.ids[at : at + min(64, len(ids[k:]))] == ids[k : k + 64][: 64 - at] for k in range(0, len(ids), 64))
+
+
+def test_caches_of_a_worker_stay_small():
+    """Two caches a worker and two workers an executor: however many keys are seen, each stays below 100 MB."""
+    import tracemalloc
+
+    from cartolith.llm.word_tokens import Generations
+
+    tracemalloc.start()
+    cache = Generations(lambda key: key[:4])
+    for k in range(1_150_000):
+        assert cache[b"%08d" % k] == b"%04d" % (k // 10_000)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 100e6 and len(cache) + len(cache.older) > 200_000

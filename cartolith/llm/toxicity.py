@@ -11,7 +11,9 @@ to one over all words, are
 hardly knows. ``a`` and ``b`` are class counts from which sampling noise has been discounted: a class's count is
 moved towards its share of both classes' count by ``NOISE`` standard deviations of that share, and stays at the share
 if it is nearer than that. Plain discounts of up to 64 leave the noise of common words and of copies in,
-which outweighs a few toxic words in a long text (README has the figures). ``s`` and ``q`` are the classes' shares of both.
+which outweighs a few toxic words in a long text (README has the figures). The standard deviation of a word's share is that
+of a sample of whole documents: a word that comes hundreds of times in each of a few documents, such as the articles of a
+language that few are in, says little by how the classes share it. ``s`` and ``q`` are the classes' shares of both.
 
 A document's evidence is the difference of its two log-likelihoods divided by its number of words. Isotonic regression
 on labelled documents, each scored by a model of the other half of them, makes a probability of it.
@@ -193,18 +195,20 @@ class KneserNey:
     p_pair: np.ndarray  # (2, pairs)
 
 
-def estimate(v: np.ndarray, w: np.ndarray, n: np.ndarray, shared: dict | tuple[np.ndarray, np.ndarray], noise: float = NOISE) -> KneserNey:
+def estimate(v: np.ndarray, w: np.ndarray, n: np.ndarray, shared: dict | tuple[np.ndarray, np.ndarray], noise: float = NOISE, spread: np.ndarray | None = None) -> KneserNey:
     """The models of the pairs ``v`` ``w``, of which the classes have seen ``n`` (2, pairs) distinct predecessors.
 
-    ``shared``: sorted words and their shared probabilities.
+    ``shared``: sorted words and their shared probabilities. ``spread``: of the same words, the variance of a class's
+    count against that of contexts drawn one by one; 1 where it isn't given.
     """
     seen = n.sum(axis=0) > 0
     v, w, n = v[seen], w[seen], n[:, seen].astype(np.float32)  # the arrays by pair are the largest
     words, iw = np.unique(w, return_inverse=True)
-    p_shared = shared[1][np.searchsorted(shared[0], words)]
+    known = np.searchsorted(shared[0], words)
+    p_shared = shared[1][known]
     m = np.stack([np.bincount(iw, c > 0, len(words)) for c in n])
     both, s = m.sum(axis=0), m.sum(axis=1) / m.sum()
-    toxic = toward(m[1], s[1] * both, both * s[0] * s[1], noise)
+    toxic = toward(m[1], s[1] * both, both * s[0] * s[1] * (1 if spread is None else spread[known]), noise)
     a = np.stack([both - toxic, toxic])
     d = _discount(both) * s[:, None]
     total = a.sum(axis=1)
@@ -337,8 +341,29 @@ def _sample(texts: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame,
     return table(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= cut).select("text", "toxic", "half"), "labelled"), rates
 
 
+def _spreads(sample: DataFrame) -> DataFrame:
+    """w, spread: the sum of the squares of the distinct words before w in each document, divided by their sum.
+
+    Documents are drawn as wholes, so a class's count of w varies by that much more than if its contexts were drawn.
+    """
+
+    def task(batches):
+        for batch in sliced(batches):
+            _, v, w, doc = triples_of(utf8(batch.column(0)))
+            pairs = np.unique(np.stack([doc.astype(np.int64), w.view(np.int64), v.view(np.int64)], axis=1), axis=0)
+            if len(pairs):
+                starts = np.flatnonzero(np.append(True, (np.diff(pairs[:, :2], axis=0) != 0).any(axis=1)))
+                n = np.diff(np.append(starts, len(pairs)))
+                words, at = np.unique(pairs[starts, 1], return_inverse=True)
+                sums = [np.bincount(at, x, len(words)) for x in (n, n.astype(float) ** 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, sums)], ["w", "n", "squares"])
+
+    rows = small_batches(sample.select("text")).mapInArrow(task, "w long, n double, squares double")
+    return rows.groupBy("w").agg((F.sum("squares") / F.sum("n")).cast("float").alias("spread"))
+
+
 def _class_counts(sample: DataFrame) -> DataFrame:
-    """v, w and, for halves 0 and 1 and both (2) and either class, the distinct words before that pair: n00 to n21."""
+    """v, w, for halves 0 and 1 and both (2) and either class the distinct words before that pair (n00 to n21), and w's spread."""
 
     def task(batches):
         for batch in sliced(batches):
@@ -352,7 +377,7 @@ def _class_counts(sample: DataFrame) -> DataFrame:
     rows = rows.groupBy("v", "w", "u").agg(F.bit_or("kind").alias("kind"))
     of = {f"n{h}{c}": mask for h, by in enumerate(((1, 2), (4, 8), (5, 10))) for c, mask in enumerate(by)}
     counts = rows.groupBy("v", "w").agg(*[F.sum(F.when(F.col("kind").bitwiseAND(F.lit(m)) != 0, 1).otherwise(0)).cast("int").alias(k) for k, m in of.items()])
-    return table(counts, "class-counts")
+    return table(counts.join(_spreads(sample), "w").select(*counts.columns, "spread"), "class-counts")
 
 
 def _with_shared(counts: DataFrame, cells: DataFrame) -> DataFrame:
@@ -369,10 +394,10 @@ def _models(counts: DataFrame, folder: str) -> list[Stored | None]:
 
     def task(batches):
         given = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
-        v, w, *n, p = [np.concatenate(c) for c in zip(*given)]
+        v, w, *n, spread, p = [np.concatenate(c) for c in zip(*given)]
         del given
         words, first = np.unique(w.view(np.uint64), return_index=True)
-        shared = words, p[first]
+        shared, spread = (words, p[first]), spread[first].astype(float)
         system, path = open_folder(folder)
         system.create_dir(path, recursive=True)
         for k in range(3):
@@ -381,7 +406,7 @@ def _models(counts: DataFrame, folder: str) -> list[Stored | None]:
             if own.sum(axis=1).all():
                 name = f"{k}-{uuid.uuid4().hex}"  # of this attempt
                 with system.open_output_stream(f"{path}/{name}") as out:
-                    out.write(pickle.dumps(Model.of(estimate(v.view(np.uint64), w.view(np.uint64), own, shared))))
+                    out.write(pickle.dumps(Model.of(estimate(v.view(np.uint64), w.view(np.uint64), own, shared, spread=spread))))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name], pa.string())], ["k", "name"])
 
     rows = counts.repartition(1).mapInArrow(task, "k int, name string").collect()

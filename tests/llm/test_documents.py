@@ -325,6 +325,37 @@ def test_toxic_phrases_of_harmless_words(spark):
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) > 0.97 * len(held)
 
 
+def test_spreads_are_of_whole_documents(spark):
+    texts = ["a b a b c b", "a b", "b b b", None, ""]
+    seen = Counter((d, w) for d, v, w in {(d, v, w) for d, t in enumerate(texts) if t for v, w in zip(["", *t.split()], t.split())})
+    by = defaultdict(list)
+    for (_, w), n in seen.items():
+        by[w].append(n)
+    found = {r.w: r.spread for r in toxicity._spreads(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    for w, n in by.items():
+        assert found[int(toxicity.words_of([w.encode()])[0].view(np.int64)[0])] == pytest.approx(sum(x * x for x in n) / sum(n))
+    assert len(found) == len(by)
+
+
+def test_toxic_words_in_a_language_that_one_class_has_more_text_of(spark):
+    """A few long ordinary documents have most of the text of a small language: its common words aren't evidence of a class."""
+    rng = random.Random(17)
+    common = [f"q{a}{b}" for a in "aeiou" for b in "rstlnmd"]
+    docs, labels = [], []
+    for d in range(1000):
+        toxic, small = d % 2, d % 10 < 3
+        w = rng.choices(common, k=8000 if d % 50 == 0 else 80) if small else words(rng, 100).split()
+        for _ in range(2 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(["horrid", "vile", "rotten"]))
+        docs.append((d, " ".join(w)))
+        labels.append((d, toxic))
+    found = toxicity.digests(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in found if r.held_out]
+    for small in (False, True):
+        own = [r for r in held if (r.doc_id % 10 < 3) == small]
+        assert sum(r.predicted == r.doc_id % 2 for r in own) > 0.97 * len(own)
+
+
 def test_the_model_does_not_pass_through_the_driver(spark):
     """What the driver gives to the scoring tasks stays small, however many words and pairs the model has."""
     rng = random.Random(16)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import struct
 import uuid
 import zlib
@@ -36,6 +37,8 @@ from .word_tokens import word_tokens
 
 MAGIC = b"CPLANES1"
 BLOCK_IDS = 1 << 16
+#: A task reads back this many files at most; fewer where all tasks can run at once.
+READ_FILES = 16
 
 
 def to_planes(block: np.ndarray, mode: str) -> list[bytes]:
@@ -216,7 +219,9 @@ def read_back(spark, folder: str, manifest: list) -> DataFrame:
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=kind)
 
-    files = spark.createDataFrame(rows, "file string, start long").repartitionByRange(len(rows), F.col("start"))
+    tasks = max(min(len(rows), spark.sparkContext.defaultParallelism), math.ceil(len(rows) / READ_FILES))
+    listed = pa.table(dict(zip(("file", "start"), zip(*rows))))  # a list would go through Python workers of its own
+    files = spark.createDataFrame(listed).repartitionByRange(tasks, F.col("start"))
     return files.mapInArrow(task, schema)
 
 

@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cartolith.llm import byte_bpe, packing, token_files
@@ -145,6 +146,31 @@ def test_token_files(spark, library, tmp_path):
     assert token_files.write_and_read(frame(spark, []), WORDS).count() == 0
 
 
+def test_files_are_read_by_few_tasks_and_no_other_workers(spark, library, tmp_path):
+    texts = [f"text {i} of many" for i in range(140)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written = []
+    for i, text in enumerate(texts):  # a file each
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        with open(tmp_path / f"part-{i:06d}.planes", "wb") as out:
+            writer = token_files.Writer(out)
+            writer.add(i, ids)
+            writer.close()
+        written.append(Row(part=i, file=f"part-{i:06d}.planes", n_docs=1, n_ids=len(ids)))
+    back = token_files.read_back(spark, str(tmp_path), written)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+    assert back.rdd.getNumPartitions() == 9 == -(-140 // token_files.READ_FILES)
+    start, expected = 0, []
+    for i, r in enumerate(written):
+        ids = np.array([*library.encode(texts[i], add_special_tokens=False).ids, 2], "<u4")
+        expected.append((i, start, r.n_ids, zlib.crc32(ids.tobytes())))
+        start += r.n_ids
+    assert sorted(map(tuple, back.collect())) == expected
+    assert sorted(map(tuple, token_files.write_and_read(docs, WORDS, 2).collect())) == expected
+    assert token_files.read_back(spark, str(tmp_path), written[:3]).rdd.getNumPartitions() == 3
+
+
 def check_packing(pieces: list, capacity: int) -> int:
     by: dict = {}
     for p in pieces:

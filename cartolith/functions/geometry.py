@@ -67,6 +67,13 @@ def bbox(geom: Column) -> Column:
     return F.struct(low(geom, "x").alias("xmin"), low(geom, "y").alias("ymin"), high(geom, "x").alias("xmax"), high(geom, "y").alias("ymax"))
 
 
+def point_box(geom: Column) -> Column:
+    """``bbox`` of a single point."""
+    v = first_vertex(geom)
+    x, y = (F.nullif(v[k], F.lit(float("nan"))) for k in "xy")
+    return F.struct(x.alias("xmin"), y.alias("ymin"), x.alias("xmax"), y.alias("ymax"))
+
+
 def boxes_meet(a: Column, b: Column) -> Column:
     """Whether two boxes share a point, be it on their edges."""
     return (a["xmin"] <= b["xmax"]) & (a["xmax"] >= b["xmin"]) & (a["ymin"] <= b["ymax"]) & (a["ymax"] >= b["ymin"])

@@ -76,7 +76,9 @@ class FeatureFrame:
 
     @property
     def box(self) -> Column:
-        return self.df["bbox"] if "bbox" in self.df.columns else g.bbox(self.geom)
+        if "bbox" in self.df.columns:
+            return self.df["bbox"]
+        return g.point_box(self.geom) if self.meta.shape_type == POINT else g.bbox(self.geom)
 
 
 Layer = FeatureFrame | DataFrame

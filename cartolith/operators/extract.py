@@ -11,7 +11,7 @@ from ..functions import geometry as g
 from ..functions.kernels import arrangement as ar
 from ..model import FeatureFrame, Layer, df_of, like
 from ..names import unique_names, valid_name
-from ..plans import spatial_join
+from ..plans import point_join, spatial_join
 from ..settings import Settings, tolerance
 from .common import check_dimensions, coerce, fields, in_extent, kernel, same_crs, where
 from .generalization import gathered
@@ -68,24 +68,10 @@ def _sides(source: FeatureFrame, operator: FeatureFrame, *extra: str) -> tuple[D
 def _clipped(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float | None, by: str | None = None) -> DataFrame:
     """Source rows (and ``by``) with their geometry cut to the operators that they meet."""
     geom, dim = source.meta.geom, source.meta.dimension
+    if dim == 0:
+        return _clipped_points(source, operator, by)
     left, right = _sides(source, operator, *([by] if by else []))
     pairs, over = spatial_join.join(left, right), operator.meta.dimension
-    if dim == 0 and over < 2:
-        hit = pairs.select("l", *([F.col(f"r.{by}").alias("__by")] if by else []), F.col("l.geom").alias("__src"), F.col("r.geom").alias("__o"))
-        hit = kernel(hit, "__part", ar.points_at, ["__src", "__o"], drop=("__src", "__o")).where("__part is not null")
-        one = hit.groupBy(F.col("l.id"), *(["__by"] if by else [])).agg(F.first("l").alias("l"), F.array_distinct(F.flatten(F.collect_list("__part"))).alias("__g"))
-        return one.select("l.row.*", "__g", *(["__by"] if by else []))
-    if dim == 0:
-        hit = pairs.select("l", *([F.col(f"r.{by}").alias("__by")] if by else []), F.col("r.geom").alias("og"))
-        v = g.first_vertex(F.col("l.geom"))
-        if source.meta.multi:
-            kept = F.filter("l.geom", lambda p: g.covers(F.col("og"), F.get(F.get(p, F.lit(0)), F.lit(0))["x"], F.get(F.get(p, F.lit(0)), F.lit(0))["y"]))
-            hit = hit.select("l", *(["__by"] if by else []), kept.alias("__part")).where(F.size("__part") > 0)
-            one = hit.groupBy(F.col("l.id"), *(["__by"] if by else [])).agg(F.first("l").alias("l"), F.array_distinct(F.flatten(F.collect_list("__part"))).alias("__g"))
-        else:
-            hit = hit.where(g.covers(F.col("og"), v["x"], v["y"]))
-            one = hit.groupBy(F.col("l.id"), *(["__by"] if by else [])).agg(F.first("l").alias("l")).withColumn("__g", F.col("l.geom"))
-        return one.select("l.row.*", "__g", *(["__by"] if by else []))
     named = ["__by"] if by else []
     ids = [F.col("l.id").alias("__id"), F.col("r.id").alias("__op"), *([F.col(f"r.{by}").alias("__by")] if by else [])]
     keys, few = ["__id", *named], spatial_join.is_few(right)
@@ -108,6 +94,16 @@ def _clipped(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float |
     return kernel(back(met).select("row", "__src", "__ops", *named), "__g", cut, ["__src", "__ops"], lists=("__ops",), drop=("__src", "__ops")).select("row.*", "__g", *named)
 
 
+def _clipped_points(source: FeatureFrame, operator: FeatureFrame, by: str | None) -> DataFrame:
+    """Points that lie at an operator, equal ones and their order kept: once for all operators, or for each ``by``."""
+    named = {"__by": operator.df[by]} if by else {}
+    points = point_join.exploded(source, F.struct(*[source.df[c] for c in source.df.columns if c not in (source.meta.geom, "bbox")]))
+    found = point_join.touched(points, operator, named, list(named))
+    kept = point_join.at(points, found, "inner" if by else "left_semi")
+    one = point_join.regrouped(kept, *named) if source.meta.multi else kept.select("row", F.array("p").alias("__g"), *named)
+    return one.select("row.*", "__g", *named)
+
+
 def clip(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float | None = None, settings: Settings | None = None) -> FeatureFrame:
     """Source features cut to the union of all operator features; attributes of the source alone."""
     check_dimensions(source, operator)

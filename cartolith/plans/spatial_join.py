@@ -8,6 +8,8 @@ A side of at most ``FEW`` rows, counted first, is broadcast instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +56,10 @@ def _cells(box: Column, level: Column, cell: float) -> Column:
     return F.flatten(F.transform(span("xmin", "xmax"), lambda i: F.transform(span("ymin", "ymax"), lambda j: F.struct(level.alias("level"), i.alias("i"), j.alias("j")))))
 
 
-def join(left: DataFrame, right: DataFrame, cell: float | None = None, within: float = 0.0) -> DataFrame:
-    """Pairs of rows whose boxes meet (or are within a distance in x and y).
+def join(left: DataFrame, right: DataFrame, cell: float | None = None, within: float = 0.0, exact: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Pairs of rows whose boxes meet (or are within a distance in x and y) and that are ``exact``.
+
+    Filters after a join become its condition and come before what it had: so ``exact`` is guarded by the boxes here.
 
     ``left`` and ``right``: ``id``, ``box`` and any columns; the result has structs ``l`` and ``r`` of them.
     Rows without a box meet nothing.
@@ -68,8 +72,9 @@ def join(left: DataFrame, right: DataFrame, cell: float | None = None, within: f
     else:
         r = r.select(F.struct(*r.columns).alias("r"), F.col("box").alias("rb"))
     meet = g.boxes_meet(F.col("lb"), F.col("rb"))
+    sure = lambda met: F.when(met, exact(F.col("l"), F.col("r"))).otherwise(False) if exact else met
     if is_few(right):
-        return l.join(F.broadcast(r), meet).select("l", "r")
+        return l.join(F.broadcast(r), sure(meet)).select("l", "r")
     cell = cell or cell_size(left, right)
     # a row lives in the grid of its own size; a smaller one visits the coarser grids of the other side too
     l = l.withColumn("own", _level(F.col("lb"), cell))
@@ -83,6 +88,5 @@ def join(left: DataFrame, right: DataFrame, cell: float | None = None, within: f
     lc = l.select("l", "lb", F.col("own").alias("lo"), F.explode(visits(F.col("lb"), F.col("own"))).alias("c"))
     rc = r.select("r", "rb", F.col("own").alias("ro"), F.explode(visits(F.col("rb"), F.col("own"))).alias("c"))
     size = _size(F.col("c.level"), cell)
-    pairs = lc.join(rc, "c").where(meet & (F.col("c.level") == F.greatest("lo", "ro")))
     corner = (F.floor(F.greatest("lb.xmin", "rb.xmin") / size) == F.col("c.i")) & (F.floor(F.greatest("lb.ymin", "rb.ymin") / size) == F.col("c.j"))
-    return pairs.where(corner).select("l", "r")
+    return lc.join(rc, "c").where(sure(meet & (F.col("c.level") == F.greatest("lo", "ro")) & corner)).select("l", "r")

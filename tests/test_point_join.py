@@ -39,3 +39,9 @@ def test_points_over_multipoints_join_by_place(spark):
     found = overlay.intersect(points(spark, [(1, 1.0, 1.0), (2, 2.0, 2.0), (3, -0.0, 5.0)]), multipoints(spark, [(7, [(1.0, 1.0), (1.0, 1.0), (0.0, 5.0)]), (8, [(1.0, 1.0)])]), "only_fid").df
     assert "MapInArrow" not in plan(found)
     assert sorted((r.fid_p, r.fid_m) for r in found.collect()) == [(1, 7), (1, 8), (3, 7)]
+
+
+def test_clip_keeps_equal_points_of_a_feature(spark):
+    """On the edge of two tiles, too, each comes once and in its order."""
+    found = extract.clip(multipoints(spark, [(1, [(5.0, 5.0), (20.0, 5.0), (5.0, 5.0), (500.0, 5.0)])]), L.tiles(spark, SF)).df
+    assert places(found) == {1: [(5.0, 5.0), (20.0, 5.0), (5.0, 5.0)]}

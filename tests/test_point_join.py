@@ -45,3 +45,11 @@ def test_clip_keeps_equal_points_of_a_feature(spark):
     """On the edge of two tiles, too, each comes once and in its order."""
     found = extract.clip(multipoints(spark, [(1, [(5.0, 5.0), (20.0, 5.0), (5.0, 5.0), (500.0, 5.0)])]), L.tiles(spark, SF)).df
     assert places(found) == {1: [(5.0, 5.0), (20.0, 5.0), (5.0, 5.0)]}
+
+
+@pytest.mark.parametrize("few", (0, 1000))
+def test_exact_tests_wait_for_the_boxes(spark, monkeypatch, few):
+    monkeypatch.setattr(spatial_join, "FEW", few)
+    side = spark.range(8).select("id", F.struct(F.col("id").cast("double").alias("xmin"), F.lit(0.0).alias("ymin"), (F.col("id") + 0.5).alias("xmax"), F.lit(1.0).alias("ymax")).alias("box"))
+    alone = lambda l, r: F.when(l["id"] == r["id"], True).otherwise(F.raise_error(F.lit("boxes apart")).cast("boolean"))
+    assert spatial_join.join(side, side, exact=alone).count() == 8

@@ -53,3 +53,10 @@ def test_exact_tests_wait_for_the_boxes(spark, monkeypatch, few):
     side = spark.range(8).select("id", F.struct(F.col("id").cast("double").alias("xmin"), F.lit(0.0).alias("ymin"), (F.col("id") + 0.5).alias("xmax"), F.lit(1.0).alias("ymax")).alias("box"))
     alone = lambda l, r: F.when(l["id"] == r["id"], True).otherwise(F.raise_error(F.lit("boxes apart")).cast("boolean"))
     assert spatial_join.join(side, side, exact=alone).count() == 8
+
+
+def test_a_point_has_a_box_without_lambdas(spark):
+    p = points(spark, [(1, 1.0, 2.0), (2, float("nan"), 3.0), (3, None, 4.0)])
+    found = p.df.select("fid", p.box.alias("b"))
+    assert "lambda" not in plan(found)
+    assert {r.fid: tuple(r.b) for r in found.collect()} == {1: (1.0, 2.0, 1.0, 2.0), 2: (None, 3.0, None, 3.0), 3: (None, 4.0, None, 4.0)}

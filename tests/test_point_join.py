@@ -60,3 +60,11 @@ def test_a_point_has_a_box_without_lambdas(spark):
     found = p.df.select("fid", p.box.alias("b"))
     assert "lambda" not in plan(found)
     assert {r.fid: tuple(r.b) for r in found.collect()} == {1: (1.0, 2.0, 1.0, 2.0), 2: (None, 3.0, None, 3.0), 3: (None, 4.0, None, 4.0)}
+
+
+def test_multipoints_over_lines_come_together_at_the_end(spark):
+    m = multipoints(spark, [(1, [(1.0, 0.0), (9.0, 9.0), (0.5, 0.0), (1.0, 0.0)]), (2, [(3.0, 3.0)]), (3, [(1.0, 4.0)])])
+    l = lines(spark, [(5, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (3.0, 3.0)]), (6, [(1.0, 4.0)])])
+    found = overlay.intersect(m, l, "only_fid").df
+    assert "MapInArrow" not in plan(found)
+    assert {(r.fid_m, r.fid_l): [(p[0][0].x, p[0][0].y) for p in r.geom] for r in found.collect()} == {(1, 5): [(1.0, 0.0), (0.5, 0.0), (1.0, 0.0)], (2, 5): [(3.0, 3.0)], (3, 6): [(1.0, 4.0)]}

@@ -68,3 +68,9 @@ def test_multipoints_over_lines_come_together_at_the_end(spark):
     found = overlay.intersect(m, l, "only_fid").df
     assert "MapInArrow" not in plan(found)
     assert {(r.fid_m, r.fid_l): [(p[0][0].x, p[0][0].y) for p in r.geom] for r in found.collect()} == {(1, 5): [(1.0, 0.0), (0.5, 0.0), (1.0, 0.0)], (2, 5): [(3.0, 3.0)], (3, 6): [(1.0, 4.0)]}
+
+
+def test_points_clipped_by_points_by_place(spark):
+    found = extract.clip(points(spark, [(1, 1.0, 1.0), (2, 2.0, 2.0), (3, 1.0, 1.0)]), points(spark, [(7, 1.0, 1.0), (8, 1.0, 1.0)])).df
+    assert "MapInArrow" not in plan(found)
+    assert sorted(r.fid for r in found.collect()) == [1, 3]

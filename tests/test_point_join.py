@@ -74,3 +74,9 @@ def test_points_clipped_by_points_by_place(spark):
     found = extract.clip(points(spark, [(1, 1.0, 1.0), (2, 2.0, 2.0), (3, 1.0, 1.0)]), points(spark, [(7, 1.0, 1.0), (8, 1.0, 1.0)])).df
     assert "MapInArrow" not in plan(found)
     assert sorted(r.fid for r in found.collect()) == [1, 3]
+
+
+def test_points_erased_by_points_by_place(spark):
+    found = overlay.erase(multipoints(spark, [(1, [(1.0, 1.0), (2.0, 2.0), (2.0, 2.0)]), (2, [(1.0, 1.0)])]), points(spark, [(7, 1.0, 1.0), (8, 1.0, 1.0)])).df
+    assert "MapInArrow" not in plan(found)
+    assert places(found) == {1: [(2.0, 2.0), (2.0, 2.0)]}

@@ -42,7 +42,7 @@ def find_identical(
     """ORIG_FID and REPEAT_FID: the first of each group of equal rows (nulls are equal) and every other one.
 
     Without tolerance, groups are plain aggregation: the smallest id per key, joined back, so that a large group is
-    never collected. With a tolerance, clusters are made greedily by id within cells of a grid.
+    never collected. With a tolerance, clusters are made greedily by id.
     """
     layer = in_extent(source, settings) if isinstance(source, FeatureFrame) else source
     df, pk = df_of(layer), pk_of(layer)
@@ -63,45 +63,55 @@ def _repeats(df: DataFrame, pk: str, keys: list[Column]) -> DataFrame:
 
 
 def _clusters(df: DataFrame, pk: str, keys: list[Column], layer: FeatureFrame, tol: float, z_tol: float | None, m_tol: float | None) -> DataFrame:
-    """Greedy by id among rows of equal keys whose boxes round to one cell of ten tolerances or to a neighbour."""
+    """Greedy by id: a row that no earlier head takes heads a group, and each other goes to the first head that it equals.
+
+    Rows of one geometry share their fate, so only the first of each is compared; and of those that lie in one cell as
+    wide as the tolerances, only the first is a candidate (see ``_heads``). So work goes by rows, not by pairs.
+    """
     geom = F.col(layer.meta.geom)
-    b = g.bbox(geom)
-    size = 10 * max(tol, 1e-9)
-    rows = df.select(F.col(pk).cast("long").alias("id"), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("key") if keys else F.lit(0).alias("key"), geom.alias("g"), b.alias("b"), F.size(g.vertices(geom)).alias("n"))
-    rows = rows.withColumn("cx", F.floor(F.col("b.xmin") / size)).withColumn("cy", F.floor(F.col("b.ymin") / size))
-    near = rows.select("id", "key", "n", "g", F.explode(F.array(*[F.struct((F.col("cx") + i).alias("x"), (F.col("cy") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))
-    a = rows.select(F.col("id").alias("a"), "key", "n", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y")).alias("c"), F.col("g").alias("ga"))
-    c = near.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("g").alias("gb"))
-    pairs = a.join(c, (a["c"] == c["cb"]) & a["key"].eqNullSafe(c["kb"]) & (a["n"] == c["nb"]) & (a["a"] < c["b"]))
-
-    def within(v: Column, w: Column) -> Column:
-        out = (F.abs(v["x"] - w["x"]) <= tol) & (F.abs(v["y"] - w["y"]) <= tol)
-        if z_tol is not None and layer.meta.has_z:
-            out = out & (F.abs(v["z"] - w["z"]) <= z_tol)
-        if m_tol is not None and layer.meta.has_m:
-            out = out & (F.abs(v["m"] - w["m"]) <= m_tol)
-        return F.coalesce(out, F.lit(False))
-
-    equal = F.forall(F.zip_with(g.vertices(F.col("ga")), g.vertices(F.col("gb")), within), lambda x: x)
-    return _greedy(pairs.where(equal).select("a", "b").distinct())
-
-
-def _greedy(pairs: DataFrame) -> DataFrame:
-    """By ascending id, a row that no earlier head has taken heads a group and takes all rows that it equals.
-
-    In rounds: an id that no undecided one precedes is a head, and what it equals is taken; each round is written down
-    (or held, without a folder for checkpoints) as the next one reads it several times.
+    used = [("x", tol), ("y", tol), *([("z", z_tol)] if z_tol is not None and layer.meta.has_z else []), *([("m", m_tol)] if m_tol is not None and layer.meta.has_m else [])]
+    vs = F.transform(g.vertices(geom), lambda v: F.struct(*[v[k].alias(k) for k, _ in used]))
+    rows = df.select(F.col(pk).cast("long").alias("id"), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("key") if keys else F.lit(0).alias("key"), vs.alias("g"))
+    # no number is within any tolerance of these
+    lost = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    rows = rows.where(F.col("id").isNotNull() & F.forall("g", lambda v: ~F.exists(F.array(*[v[k] for k, _ in used]), lost)))
+    in_cell = F.transform("g", lambda v: F.struct(*[(F.floor(v[k] / t) if t else v[k]).alias(k) for k, t in used]))
+    size = 2 * max(tol, 1e-9)
+    at = F.get("g", F.lit(0))
+    firsts = rows.groupBy("key", "g").agg(F.min("id").alias("id")).select("id", "key", "g", F.size("g").alias("n"), F.xxhash64("key", in_cell).alias("q"), F.floor(at["x"] / size).alias("cx"), F.floor(at["y"] / size).alias("cy"))
+
+    def near(some: DataFrame, all_: DataFrame) -> DataFrame:
+        """``a`` of some and ``b`` of all rows that are equal, each row with itself left out."""
+        around = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("x"), (F.col("cy") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        left = some.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("n").alias("na"), F.col("g").alias("ga"), around.alias("c")).select("a", "ka", "na", "ga", F.col("c.x").alias("ax"), F.col("c.y").alias("ay"))
+        right = all_.select(F.col("id").alias("b"), "key", "n", "g", "cx", "cy")
+        equal = F.forall(F.zip_with("ga", "g", lambda v, w: F.forall(F.array(*[F.abs(v[k] - w[k]) <= t for k, t in used]), lambda x: x)), lambda x: x)
+        met = (F.col("ax") == F.col("cx")) & (F.col("ay") == F.col("cy")) & F.col("na").eqNullSafe(F.col("n")) & F.col("ka").eqNullSafe(F.col("key")) & (F.col("a") != F.col("b"))
+        return left.join(right, met & F.when(met, equal)).select("a", "b")
+
+    keep = (lambda d: d.checkpoint()) if df_has_folder(df) else (lambda d: d.persist())
+    firsts = keep(firsts)
+    taken = near(_heads(firsts, near, keep), firsts).where("a < b").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("head"))
+    fate = firsts.join(taken, "id", "left").select(F.col("key").alias("k1"), F.col("g").alias("g1"), F.coalesce("head", "id").alias("ORIG_FID"))
+    return rows.join(fate, rows["key"].eqNullSafe(fate["k1"]) & (rows["g"] == fate["g1"])).where("id <> ORIG_FID").select("ORIG_FID", F.col("id").alias("REPEAT_FID"))
+
+
+def _heads(rows: DataFrame, near, keep) -> DataFrame:
+    """Rows that no earlier head equals, in rounds.
+
+    The first undecided row of a cell is a candidate, and a head if no undecided row that precedes it is equal to it;
+    others of its cell wait, as they (nearly always) equal it. What equals a head is decided. Each round is written
+    down (or held, without a folder for checkpoints) as the next one reads it several times.
     """
-    keep = (lambda d: d.checkpoint()) if df_has_folder(pairs) else (lambda d: d.persist())
-    left, found = keep(pairs), None
+    left, found = rows, None
     while not left.isEmpty():
-        heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        taken = keep(left.join(heads, "a").groupBy("b").agg(F.min("a").alias("a")))
-        found = taken if found is None else found.union(taken)
-        gone = heads.union(taken.select("b"))
-        left = keep(left.join(gone.select("a"), "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
-    found = pairs.select("b", "a") if found is None else found
-    return found.select(F.col("a").alias("ORIG_FID"), F.col("b").alias("REPEAT_FID"))
+        first = left.groupBy("q").agg(F.min_by(F.struct("id", "key", "n", "g", "cx", "cy"), "id").alias("s")).select("s.*")
+        met = keep(near(first, left))
+        heads = keep(first.join(met.where("b < a").select(F.col("a").alias("id")).distinct(), "id", "left_anti"))
+        found = heads if found is None else found.union(heads)
+        gone = heads.select("id").union(met.join(heads.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")))
+        left = keep(left.join(gone, "id", "left_anti"))
+    return rows.limit(0) if found is None else found
 
 
 def df_has_folder(df: DataFrame) -> bool:

@@ -136,8 +136,8 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def kernel(df: DataFrame, out: str, fn, inputs: list[str], lists: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> DataFrame:
-    return bridge.transform_rows(df, out, fn, inputs, lists, drop)
+def kernel(df: DataFrame, out: str, fn, inputs: list[str], lists: tuple[str, ...] = (), drop: tuple[str, ...] = (), many=None) -> DataFrame:
+    return bridge.transform_rows(df, out, fn, inputs, lists, drop, many)
 
 
 def kind(layer: Layer) -> str:

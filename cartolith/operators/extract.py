@@ -13,7 +13,7 @@ from ..model import FeatureFrame, Layer, df_of, like
 from ..names import unique_names, valid_name
 from ..plans import point_join, spatial_join
 from ..settings import Settings, tolerance
-from .common import check_dimensions, coerce, fields, in_extent, kernel, same_crs, where
+from .common import check_dimensions, coerce, fields, in_extent, kernel, same_crs, spread, where
 from .generalization import gathered
 
 
@@ -71,6 +71,8 @@ def _clipped(source: FeatureFrame, operator: FeatureFrame, xy_tolerance: float |
     if dim == 0:
         return _clipped_points(source, operator, by)
     left, right = _sides(source, operator, *([by] if by else []))
+    if not (source.meta.rectangles and operator.meta.rectangles):
+        left = spread(left, "id")
     pairs, over = spatial_join.join(left, right), operator.meta.dimension
     named = ["__by"] if by else []
     ids = [F.col("l.id").alias("__id"), F.col("r.id").alias("__op"), *([F.col(f"r.{by}").alias("__by")] if by else [])]

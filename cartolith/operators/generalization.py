@@ -46,19 +46,25 @@ def united(df: DataFrame, keys: list[str], geom: str, id_: Column, dimension: in
     as long as their united outlines do.
     """
     unite = _unite(dimension, xy_tolerance)
-    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     now = df.select(*keys, F.col(geom).alias("__g"), id_.cast("long").alias("__o"))
+    now = now.groupBy(*keys, "__g").agg(F.min("__o").alias("__o")).persist()  # one of equal geometries will do
+    same = lambda a, b: [a[k].eqNullSafe(b[f"__{k}"]) for k in keys]
+    most = now.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while most > FAN_IN:
-        b = g.bbox(F.col("__g"))
-        part = F.xxhash64(F.floor(b["xmin"] / F.lit(_cell(now))), F.floor(b["ymin"] / F.lit(_cell(now))))
-        blocks = -(-most // FAN_IN)
-        now = now.groupBy(*keys, F.pmod(part, F.lit(blocks)).alias("__b")).agg(F.collect_list("__g").alias("__gs"), F.min("__o").alias("__o"))
-        now = kernel(now, "__g", unite, ["__gs"], lists=("__gs",), drop=("__gs", "__b"))
+        b, cell, blocks = g.bbox(F.col("__g")), _cell(now), -(-most // FAN_IN)
+        now = now.withColumn("__b", F.pmod(F.xxhash64(F.floor(b["xmin"] / cell), F.floor(b["ymin"] / cell)), F.lit(blocks)))
+        # blocks that a crowded place makes too large are divided further
+        many = now.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__b").alias("__mb")).agg(F.ceil(F.count("*") / FAN_IN).alias("__n")).where("__n > 1")
+        now = now.join(many, [*same(now, many), now["__b"] == many["__mb"]], "left").drop("__mb", *[f"__{k}" for k in keys])
+        now = now.withColumn("__c", F.coalesce(F.pmod(F.xxhash64("__o", b["xmin"], b["ymin"], b["xmax"]), F.col("__n")), F.lit(0)))
+        now = spread(now, *keys, "__b", "__c").groupBy(*keys, "__b", "__c").agg(F.collect_list("__g").alias("__gs"), F.min("__o").alias("__o"))
+        now = kernel(now, "__g", unite, ["__gs"], lists=("__gs",), drop=("__gs", "__b", "__c")).persist()
         fewer = now.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if fewer >= most:
             break
         most = fewer
-    one = now.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__o", "__g"))).alias("__s")).withColumn("__gs", F.transform("__s", lambda s: s["__g"])).drop("__s")
+    one = spread(now, *keys).groupBy(*keys) if keys else now.groupBy()
+    one = one.agg(F.array_sort(F.collect_list(F.struct("__o", "__g"))).alias("__s")).withColumn("__gs", F.transform("__s", lambda s: s["__g"])).drop("__s")
     return kernel(one, geom, unite, ["__gs"], lists=("__gs",), drop=("__gs",))
 
 
@@ -96,7 +102,7 @@ def _unite(dimension: int, xy_tolerance: float | None):
             segments = [s for s in segments if len(s)]
             if not segments:
                 return []
-            e = np.vstack(segments)
+            e = ar.run_together(np.vstack(segments))
             grid = ar._grid(e, xy_tolerance)
             return ar.merged(ar.node(e, grid), grid)
 

@@ -29,3 +29,20 @@ def test_lines_that_run_together_are_joined_before_they_are_cut(spark, monkeypat
     rows = spark.range(60).select(F.col("id").alias("fid"), F.lit(1).alias("k"), g.line(F.array(g.vertex(F.col("id") % 20, 0.5), g.vertex(F.col("id") % 20 + 1 + F.col("id") / 60, 0.5))).alias("geom"))
     d = generalization.dissolve(FeatureFrame(rows, FeatureMeta(LINE)), "k").df
     assert math.isclose(sum(r[0] for r in d.select(g.length(F.col("geom"))).collect()), 19 + 1 + 59 / 60)
+
+
+def test_lines_over_upright_rectangles():
+    line = [[np.array([(-1.0, 1.0, 7.0, 0.0), (3.0, 1.0, 9.0, 0.0), (3.0, 5.0, 9.0, 0.0), (1.0, 5.0, 9.0, 0.0), (1.0, 4.0, 9.0, 0.0)])]]
+    other = ar.box(0, 0, 2, 4)
+    inside = ar.clip_line(line, other)
+    assert [p[0].tolist() for p in inside] == [[[0.0, 1.0, 7.5, 0.0], [2.0, 1.0, 8.5, 0.0]]]
+    outside = ar.clip_line(line, other, keep_inside=False)
+    assert [p[0][:, :2].tolist() for p in outside] == [[[-1.0, 1.0], [0.0, 1.0]], [[2.0, 1.0], [3.0, 1.0], [3.0, 5.0], [1.0, 5.0], [1.0, 4.0]]]
+
+
+def test_lines_are_spread_before_they_are_cut(spark):
+    row = spark.range(1).select(F.col("id").alias("fid"), g.line(F.array(g.vertex(0.5, 0.5), g.vertex(3.5, 0.5))).alias("geom"))
+    found = overlay.intersect(FeatureFrame(row.coalesce(1), FeatureMeta(LINE, name="l")), boxes(spark, [(1, 0.0, 0.0, 1.0, 1.0)]), "only_fid").df
+    text = plan(found)
+    assert text.index("MapInArrow") < text.index("BroadcastNestedLoopJoin") < text.index("REPARTITION_BY_NUM")
+    assert found.count() == 1

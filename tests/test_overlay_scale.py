@@ -46,3 +46,21 @@ def test_lines_are_spread_before_they_are_cut(spark):
     text = plan(found)
     assert text.index("MapInArrow") < text.index("BroadcastNestedLoopJoin") < text.index("REPARTITION_BY_NUM")
     assert found.count() == 1
+
+
+def test_a_batch_of_large_shapes_is_given_back_in_parts(spark, monkeypatch):
+    """Geometries are unpacked one by one, and what a task holds is bounded by vertices, not by rows."""
+    column = bridge.column_of([ar.box(0, 0, k + 1, 1) for k in range(5)] + [None])
+    lazy = bridge.shapes(column)
+    assert len(lazy) == 6 and lazy[5] is None and not isinstance(lazy, list)
+    assert lazy[3][0][0][:, :2].tolist() == ar.box(0, 0, 4, 1)[0][0].tolist()
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    layer = boxes(spark, [(k, 0.0, 0.0, k + 1.0, 1.0) for k in range(5)])
+    out = bridge.transform_rows(layer.df.coalesce(1), "__g", lambda s: [[np.zeros((150_000, 2))]], ["geom"], drop=("geom",))
+    assert int(spark.conf.get(limit)) <= 1 << 24
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    assert sorted(r.fid for r in out.select("fid").collect()) == [0, 1, 2, 3, 4]

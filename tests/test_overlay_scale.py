@@ -64,3 +64,18 @@ def test_a_batch_of_large_shapes_is_given_back_in_parts(spark, monkeypatch):
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
 
     assert sorted(r.fid for r in out.select("fid").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_equal_geometries_are_united_once(spark):
+    layer = boxes(spark, [(k, float(k % 3), 0.0, k % 3 + 1.0, 1.0) for k in range(3000)])
+    found = generalization.united(layer.df, [], "geom", F.col("fid"), 2, None)
+    assert "__gs" in plan(found)
+    assert found.select(g.area(F.col("geom"))).first()[0] == 3.0
+
+
+def test_union_of_crowded_boxes(spark):
+    a = boxes(spark, [(k, float(k % 30), float(k // 30 % 30), k % 30 + 2.0, k // 30 % 30 + 2.0) for k in range(900)])
+    d = overlay.union(a, boxes(spark, [(1, 0.0, 0.0, 10.5, 10.5)], "b"), "only_fid").df
+    total = {r[0]: r[1] for r in d.groupBy("fid_b").agg(F.sum(g.area(F.col("geom")))).collect()}
+    inside = sum((min(x + 2, 10.5) - x) * (min(y + 2, 10.5) - y) for x in range(11) for y in range(11))
+    assert math.isclose(total[1], inside) and math.isclose(total[None], 3600 - inside)

@@ -79,3 +79,17 @@ def test_union_of_crowded_boxes(spark):
     total = {r[0]: r[1] for r in d.groupBy("fid_b").agg(F.sum(g.area(F.col("geom")))).collect()}
     inside = sum((min(x + 2, 10.5) - x) * (min(y + 2, 10.5) - y) for x in range(11) for y in range(11))
     assert math.isclose(total[1], inside) and math.isclose(total[None], 3600 - inside)
+
+
+def test_boxes_within_an_operator_need_no_kernel(spark):
+    a = boxes(spark, [(1, 0.0, 0.0, 1.0, 1.0), (2, 4.0, 0.0, 6.0, 1.0), (3, 5.0, 0.0, 6.0, 1.0), (4, 3.0, 3.0, 6.0, 6.0)])
+    found = overlay.erase(a, boxes(spark, [(1, 0.0, 0.0, 5.0, 5.0)], "b")).df
+    assert "__whole" in plan(found)
+    assert {r[0]: r[1] for r in found.select("fid", g.area(F.col("geom"))).collect()} == {2: 1.0, 3: 1.0, 4: 5.0}
+
+
+def test_a_rectangle_less_few(monkeypatch):
+    monkeypatch.setattr(ar, "trace", None)  # no cells, no rings to follow
+    a = ar.box(0, 0, 4, 4)
+    for others, left in (([(0, 0, 4, 1)], 12), ([(0, 0, 9, 1), (3, -1, 9, 9)], 9), ([(2, 2, 9, 9)], 12), ([(-1, 3, 1, 5)], 15), ([(3, -1, 5, 1)], 15), ([(-1, -1, 1, 1)], 15), ([(-1, -1, 5, 5)], 0), ([(4, 0, 5, 4)], 16)):
+        assert ar.area(ar.less(a, [ar.box(*o) for o in others])) == left

@@ -93,3 +93,10 @@ def test_a_rectangle_less_few(monkeypatch):
     a = ar.box(0, 0, 4, 4)
     for others, left in (([(0, 0, 4, 1)], 12), ([(0, 0, 9, 1), (3, -1, 9, 9)], 9), ([(2, 2, 9, 9)], 12), ([(-1, 3, 1, 5)], 15), ([(3, -1, 5, 1)], 15), ([(-1, -1, 1, 1)], 15), ([(-1, -1, 5, 5)], 0), ([(4, 0, 5, 4)], 16)):
         assert ar.area(ar.less(a, [ar.box(*o) for o in others])) == left
+
+
+def test_polygons_are_spread_before_they_are_clipped(spark):
+    found = extract.clip(boxes(spark, [(1, 0.0, 0.0, 2.0, 2.0)], rectangles=False), boxes(spark, [(1, 1.0, 1.0, 3.0, 3.0), (2, 0.0, 0.0, 1.0, 1.0)], "b", rectangles=False)).df
+    text = plan(found)
+    assert "REPARTITION_BY_NUM" in text[text.index("BroadcastNestedLoopJoin") :]
+    assert found.select(F.sum(g.area(F.col("geom")))).first()[0] == 2.0

@@ -6,6 +6,7 @@ ring of one vertex; a line one part with one ring; a polygon one part whose firs
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -230,5 +231,5 @@ def rectangle_intersection(a: Column, b: Column) -> Column:
 def disk(x: Column, y: Column, radius: Column, quadrant: int = 32) -> Column:
     """The polygon of ``4 * quadrant`` vertices that a buffer of a point is."""
     n = 4 * quadrant
-    turn = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: vertex(x + radius * F.cos((i % n) * (-2 * 3.141592653589793 / n)), y + radius * F.sin((i % n) * (-2 * 3.141592653589793 / n))))
-    return F.array(F.array(F.reverse(turn)))
+    turn = [(i % n) * (-2 * math.pi / n) for i in range(n, -1, -1)]
+    return F.array(F.array(F.zip_with(F.lit([math.cos(t) for t in turn]), F.lit([math.sin(t) for t in turn]), lambda c, s: vertex(x + radius * c, y + radius * s))))

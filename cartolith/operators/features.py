@@ -14,6 +14,7 @@ from ..errors import ArgumentError, CoordinateSystemError, FieldError, GeometryT
 from ..functions import geometry as g
 from ..functions.kernels import arrangement as ar
 from ..functions.kernels import geodesic as geo
+from ..functions.kernels import rings as rg
 from ..functions.kernels import shapes as sh
 from ..model import LINE, MULTIPOLYGON, POINT, POLYGON, SINGLE, FeatureFrame, FeatureMeta, Layer, df_of
 from ..names import unique_name
@@ -260,7 +261,8 @@ def minimum_bounding_geometry(source: FeatureFrame, geometry_type="rectangle_by_
         df = kernel(hulls.groupBy(*keys).agg(F.collect_list("__h").alias("__hs")), "__g", _hull_of, ["__hs"], lists=("__hs",), drop=("__hs",))
         fid = pk
     name = str(kind)
-    df = kernel(df, geom, lambda s: sh.bounding(s, name)[0] if s else None, ["__g"])
+    many = (lambda column: rg.rectangles_of(column, kind == Bounding.RECTANGLE_BY_WIDTH)) if name.startswith("rectangle") else None
+    df = kernel(df, geom, lambda s: sh.bounding(s, name)[0] if s else None, ["__g"], many=many)
     if add_geometric_attributes:
         import numpy as np
 

@@ -17,7 +17,7 @@ from ..functions.kernels import shapes as sh
 from ..model import MULTIPOLYGON, POLYGON, FeatureFrame
 from ..settings import Settings, current, tolerance
 from ..units import Distance, length_factor, meters_of, parse
-from .common import coerce, fields, in_extent, kernel, option, resolve, with_orig_fid
+from .common import coerce, fields, in_extent, kernel, option, resolve, spread, with_orig_fid
 from .generalization import united
 from .projections import is_geographic
 
@@ -107,6 +107,7 @@ def buffer(
     geom, dim, quadrant, tol = source.meta.geom, source.meta.dimension, clamp(resolution), tolerance(xy_tolerance, settings)
     rows = source.df.drop("bbox").withColumn("__d", d).where(F.col("__d").isNotNull() & ~F.isnan("__d") & ~g.is_empty(F.col(geom)))
     if dim == 0 and not source.meta.multi and kind == BufferType.PLANAR and cap == Cap.ROUND:
+        rows = spread(rows, source.meta.pk)  # points are small, what they become isn't
         v = g.first_vertex(F.col(geom))  # a point's buffer needs no kernel
         rows = rows.where("__d > 0").withColumn(geom, g.disk(v["x"], v["y"], F.col("__d"), quadrant)).drop("__d")
     else:

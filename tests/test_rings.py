@@ -46,3 +46,25 @@ def test_rings_made_valid_in_batches(whole):
     assert [f is ... for f in found[400:]] == [False, True, False, False]
     bow = rg.made_valid(batch([[[np.array([(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0), (0.0, 0.0)])]]]))[0]
     assert len(bow) == 2 and ar.area(bow) == 2
+
+
+@pytest.mark.parametrize("whole", (True, False))
+def test_crossings_in_batches(whole):
+    given = [*random_rings(5, 400, whole), None, [[np.array([(0.0, 0.0), (1.0, 1.0)])]], [ar.box(0, 0, 1, 1)[0], ar.box(0, 0, 1, 1)[0]], [[ar.box(0, 0, 1, 1)[0][0], ar.box(2, 2, 3, 3)[0][0]]], [[np.array([(0.0, 0.0), (np.nan, 1.0), (1.0, 1.0), (0.0, 0.0)])]]]
+    wanted = check._TOPOLOGY
+    found, single = check._topology_of(wanted)(batch(given)), check._topology(wanted)
+    assert [f is ... for f in found[-5:]] == [False, False, False, False, True]
+    assert all((f is None) == (single(g) is None) for f, g in zip(found, given) if f is not ...)
+    assert 0 < sum(f is not None for f in found if f is not ...) < 400
+
+
+def test_checks_are_spread_and_holes_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    from cartolith import layers as L
+
+    broken = L.broken_boxes(spark, "/root/testdata/sf0.001")
+    found = check.check_geometry(broken)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RepartitionByExpression") == 2 and "size(flatten" not in text.split("Generate")[0]
+    assert {r[0] for r in found.where(F.col("ORIG_FID") % 7 == 4).select("REASON").collect()} == {"OUTSIDE_RING"}

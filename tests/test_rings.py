@@ -68,3 +68,16 @@ def test_checks_are_spread_and_holes_told_apart(spark):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("RepartitionByExpression") == 2 and "size(flatten" not in text.split("Generate")[0]
     assert {r[0] for r in found.where(F.col("ORIG_FID") % 7 == 4).select("REASON").collect()} == {"OUTSIDE_RING"}
+
+
+@pytest.mark.parametrize("kind", ("rectangle_by_area", "rectangle_by_width"))
+def test_smallest_rectangles_in_batches(kind):
+    given = [*random_rings(9, 200), *random_rings(10, 200, False), ar.box(1, 2, 5, 4), None, [[np.array([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)])]], [[sh.circle_ring(np.zeros(2), 1.0, 64)]]]
+    found = rg.rectangles_of(batch(given), kind.endswith("width"))
+    assert [f is ... for f in found[-4:]] == [False, True, True, True]
+    for f, g in zip(found, given):
+        if f is not ...:
+            expected = sh.bounding(g, kind)[0]
+            assert math.isclose(ar.area(f), ar.area(expected), rel_tol=1e-9)
+            assert np.allclose(f[0][0], expected[0][0], atol=1e-9)
+    assert sum(f is ... for f in found) < 40

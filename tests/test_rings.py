@@ -81,3 +81,19 @@ def test_smallest_rectangles_in_batches(kind):
             assert math.isclose(ar.area(f), ar.area(expected), rel_tol=1e-9)
             assert np.allclose(f[0][0], expected[0][0], atol=1e-9)
     assert sum(f is ... for f in found) < 40
+
+
+def test_buffers_of_points_are_spread_first(spark):
+    from pyspark.sql import functions as F
+
+    from cartolith.functions import geometry as g
+    from cartolith.model import POINT, FeatureFrame, FeatureMeta
+    from cartolith.operators import proximity
+
+    df = spark.createDataFrame([(1, 3.0, 4.0)], "fid long, x double, y double").select("fid", g.point(F.col("x"), F.col("y")).alias("geom"))
+    found = proximity.buffer(FeatureFrame(df, FeatureMeta(POINT)), 2.0).df
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in text and "cos(" not in text.lower()
+    (ring,) = found.first().geom[0]
+    assert len(ring) == 129 and ring[0] == ring[-1] and (ring[0].x, ring[0].y) == (5.0, 4.0)
+    assert np.allclose([(v.x, v.y) for v in ring], sh.disk(np.array([3.0, 4.0]), 2.0, 32)[0][0])

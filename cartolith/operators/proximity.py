@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from enum import StrEnum
 
@@ -178,9 +179,9 @@ def _inner(used: list[float], k: int, outside: bool) -> tuple[list[int]]:
 def create_thiessen_polygons(source: FeatureFrame, include_attributes: bool = False, xy_tolerance: float | None = None, settings: Settings | None = None) -> FeatureFrame:
     """The cell of places nearest to each point, within the extent or the points' own bounds widened by 5 %.
 
-    Points are cut to grid tiles of some thousands; a tile's cells are made from its points and those of a halo of
-    tiles around it, and a cell is final when no point beyond the halo can cut it. The few that aren't are made again
-    with a halo twice as wide, until all are.
+    Points are cut to tiles of some thousands, by quantiles; a tile's cells are made from its points and those of a halo
+    around it, and a cell is final when no point beyond the halo can cut it. The few that aren't are made again with a
+    halo four times as wide, until all are.
     """
     if source.meta.dimension != 0:
         raise GeometryTypeError("points are needed")
@@ -213,35 +214,66 @@ def create_thiessen_polygons(source: FeatureFrame, include_attributes: bool = Fa
     return source.with_df(coerce(df, geom, shape), shape_type=shape, pk=fid, rectangles=False)
 
 
+#: Points of a tile, about: the bounds of all tiles are part of the plan.
 TILE_POINTS = 2000
 
 
+def _bounds(points: DataFrame, count: int) -> tuple[list[float], list[list[float]]]:
+    """Bounds between strips in x of about equal numbers of points, and between the tiles in y of each strip."""
+    strips = max(1, round((count / TILE_POINTS) ** 0.5))
+    cuts = [k / strips for k in range(1, strips)]
+    if not cuts:
+        return [], [[]]
+    xs = sorted(set(points.agg(F.percentile_approx("x", cuts, 100 * strips)).first()[0]))
+    in_strip = points.select(_place(F.col("x"), F.lit(xs)).alias("i"), "y").groupBy("i").agg(F.percentile_approx("y", cuts, 100 * strips).alias("ys"))
+    ys = {r.i: sorted(set(r.ys)) for r in in_strip.collect()}  # a row a strip
+    return xs, [ys.get(i, []) for i in range(len(xs) + 1)]
+
+
+def _place(v: Column, bounds: Column) -> Column:
+    """How many of the bounds (in order) are at most ``v``."""
+    return F.aggregate(bounds, F.lit(0), lambda n, b: n + (b <= v).cast("int"))
+
+
 def _cells(points: DataFrame, window: tuple[float, float, float, float], count: int) -> DataFrame:
+    """Tiles have about as many points each, however dense: a cell is final when all points that could cut it are known."""
+    points = points.persist()
+    xs, ys = _bounds(points, count)
+    edges_x = [-math.inf, *xs, math.inf]
+    tiles = [(i, j, edges_x[i], lo, edges_x[i + 1], hi) for i, own in enumerate(ys) for j, (lo, hi) in enumerate(zip([-math.inf, *own], [*own, math.inf]))]
+    spark = points.sparkSession
+    bounds = spark.createDataFrame([(i, own) for i, own in enumerate(ys)], "i int, ys array<double>")
+    placed = points.withColumn("i", _place(F.col("x"), F.lit(xs).cast("array<double>"))).join(F.broadcast(bounds), "i").select("id", "x", "y", "i", _place(F.col("y"), F.col("ys")).alias("j"))
+    # a first halo of a fourth of the tile, in each direction
     x0, y0, x1, y1 = window
-    tiles = max(1, int((count / TILE_POINTS) ** 0.5))
-    dx, dy = (x1 - x0) / tiles or 1.0, (y1 - y0) / tiles or 1.0
-    halo, done, todo = 1, None, points
-    tile = lambda c, o, d: F.greatest(F.lit(0), F.least(F.lit(tiles - 1), F.floor((F.col(c) - o) / d).cast("int")))
-    placed = points.select("id", "x", "y", tile("x", x0, dx).alias("i"), tile("y", y0, dy).alias("j"))
-    todo = placed
+    clipped = lambda lo, hi, a, b: max((min(hi, b) - max(lo, a)) / 4, (b - a) * 1e-9)
+    todo = spark.createDataFrame([(i, j, a, b, c, d, clipped(a, c, x0, x1), clipped(b, d, y0, y1)) for i, j, a, b, c, d in tiles], "i int, j int, ax double, ay double, bx double, by double, hx double, hy double")
+    own, done = placed.persist(), None
     while True:
-        around = F.explode(F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), F.col("i") - halo), F.least(F.lit(tiles - 1), F.col("i") + halo)), lambda a: F.transform(F.sequence(F.greatest(F.lit(0), F.col("j") - halo), F.least(F.lit(tiles - 1), F.col("j") + halo)), lambda b: F.struct(a.alias("i"), b.alias("j"))))))
-        needed = todo.select("i", "j").distinct()
-        seen = placed.select("id", "x", "y", around.alias("t")).select("id", "x", "y", "t.i", "t.j", F.lit(False).alias("own")).join(needed, ["i", "j"], "left_semi")
-        both = todo.select("id", "x", "y", "i", "j", F.lit(True).alias("own")).unionByName(seen.select("id", "x", "y", "i", "j", "own"))
-        made = both.groupBy("i", "j").applyInArrow(_tile_kernel(window, halo, tiles, dx, dy), f"id long, x double, y double, i int, j int, fine boolean, cell {g.GEOMETRY}")
-        if halo >= tiles:
-            return made.select("id", "cell") if done is None else done.unionByName(made.select("id", "cell"))
-        made = made.persist()
+        seen = todo.select("i", "j", (F.col("ax") - F.col("hx")).alias("kx0"), (F.col("ay") - F.col("hy")).alias("ky0"), (F.col("bx") + F.col("hx")).alias("kx1"), (F.col("by") + F.col("hy")).alias("ky1"))
+        # the strips that a halo reaches; of those the points in its range of y
+        strip = F.sequence(_place(F.col("kx0"), F.lit(xs).cast("array<double>")), _place(F.col("kx1"), F.lit(xs).cast("array<double>")))
+        reach = seen.select("*", F.explode(strip).alias("pi"))
+        others = placed.select(F.col("id"), "x", "y", F.col("i").alias("pi"), F.col("j").alias("pj"))
+        within = (others["x"] >= reach["kx0"]) & (others["x"] <= reach["kx1"]) & (others["y"] >= reach["ky0"]) & (others["y"] <= reach["ky1"])
+        if done is None:  # later, only some of a tile's points are its sites
+            within = within & ~((others["pi"] == reach["i"]) & (others["pj"] == reach["j"]))
+        halo = others.join(F.broadcast(reach), (others["pi"] == reach["pi"]) & within).select("id", "x", "y", "i", "j", F.lit(False).alias("own"))
+        both = own.select("id", "x", "y", "i", "j", F.lit(True).alias("own")).unionByName(halo)
+        known = seen.select("i", "j", "kx0", "ky0", "kx1", "ky1")
+        both = spread(both.join(F.broadcast(known), ["i", "j"]), "i", "j")
+        made = both.groupBy("i", "j").applyInArrow(_tile_kernel(window), f"id long, x double, y double, i int, j int, fine boolean, cell {g.GEOMETRY}").persist()
         fine = made.where("fine").select("id", "cell")
         done = fine if done is None else done.unionByName(fine)
-        todo = made.where("not fine").select("id", "x", "y", "i", "j")
-        if todo.isEmpty():
+        own = made.where("not fine").select("id", "x", "y", "i", "j")
+        left = [(r.i, r.j) for r in own.select("i", "j").distinct().collect()]  # some of the tiles
+        if not left:
             return done
-        halo *= 2
+        again = spark.createDataFrame(left, "i int, j int")
+        todo = todo.join(F.broadcast(again), ["i", "j"], "left_semi").withColumn("hx", F.col("hx") * 4).withColumn("hy", F.col("hy") * 4)
 
 
-def _tile_kernel(window, halo, tiles, dx, dy):
+def _tile_kernel(window):
     def kernel_(table):
         import pyarrow as pa
 
@@ -249,19 +281,17 @@ def _tile_kernel(window, halo, tiles, dx, dy):
 
         own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
         xy = np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], axis=1)
-        ids, sites, others = table.column("id").to_numpy()[own], xy[own], xy[~own]
+        n = int(own.sum())
+        ids, sites = table.column("id").to_numpy()[own], xy[own]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        x0, y0 = window[0], window[1]
-        # up to here every point is known
-        known = (-np.inf if i - halo <= 0 else x0 + (i - halo) * dx, -np.inf if j - halo <= 0 else y0 + (j - halo) * dy, np.inf if i + halo >= tiles - 1 else x0 + (i + halo + 1) * dx, np.inf if j + halo >= tiles - 1 else y0 + (j + halo + 1) * dy)
+        # up to here every point is known; beyond the window there may be points, too
+        known = [table.column(k)[0].as_py() for k in ("kx0", "ky0", "kx1", "ky1")]
+        order = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
         cells, fine = [], []
-        for s in sites:
-            near = others[np.argsort(((others - s) ** 2).sum(axis=1), kind="stable")]
-            ring = sh.voronoi_cell(s, near, window)
+        for s, ring in zip(sites, sh.voronoi_cells(xy[order], n, window)):
             reach = 2 * float(np.hypot(*(ring - s).T).max()) if len(ring) else 0.0
             fine.append(bool(s[0] - reach >= known[0] and s[1] - reach >= known[1] and s[0] + reach <= known[2] and s[1] + reach <= known[3]))
             cells.append([[sh.closed(ring)]] if len(ring) > 2 else None)
-        n = len(ids)
         return pa.table({"id": pa.array(ids, pa.int64()), "x": pa.array(sites[:, 0]), "y": pa.array(sites[:, 1]), "i": pa.array([i] * n, pa.int32()), "j": pa.array([j] * n, pa.int32()), "fine": pa.array(fine, pa.bool_()), "cell": column_of(cells)})
 
     return kernel_
